@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semdex.llm import mixing, packing, quality
-from semdex.llm.common import materialize
+from semdex.llm import language, mixing, ngram_join, packing, quality
+from semdex.llm.common import materialize, remainder
+
+#: A document whose language's score is below this is rejected, as is one without any.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with some certainty."""
+    model = language.train(docs.filter(remainder("doc_id", 4) != 2))
+    told = language.identify(docs, model, ("_language", "_language_score"))
+    return told.filter((F.col("_language") != language.UNKNOWN) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # columns of the same names as the rules' stay apart
+    return quality.judge(whole).filter("kept").select("_row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality_rules), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("language", identify_language), ("quality", quality_rules), ("near-copies", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 #: Tokenizing, trained classifiers and MinHash can't be expressed in SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 

@@ -86,8 +86,8 @@ def remainder(doc_id: Column | str, of: int) -> Column:
 
 # --- words of Arrow batches, without a loop over documents -----------------------------------
 
-_IS_SEP = np.zeros(256, bool)
-_IS_SEP[[0x20, 9, 10, 11, 12, 13]] = True
+IS_SEPARATOR = np.zeros(256, bool)
+IS_SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
@@ -124,8 +124,8 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``limit`` bytes of text each, or one row."""
+def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes of text and ``rows`` rows each, or one row."""
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
@@ -133,13 +133,14 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        to = min(to, at + rows)
         yield batch.slice(at, to - at)
         at = to
 
 
-def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the words of all texts begin and end, and each text's first word (one entry more)."""
-    sep = _IS_SEP[buf]
+    sep = separators[buf]
     before, after = np.empty(len(buf), bool), np.empty(len(buf), bool)
     if len(buf):
         before[0] = after[-1] = True
