@@ -80,7 +80,7 @@ def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], most: int
     return np.sort(p[order[gain[order] >= LEAST_GAIN]])
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, penalty: float = 1e-3) -> Model:
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.05, penalty: float = 1e-4) -> Model:
     """Non-negative risk estimation with the logistic loss, by Adam over all rows; see the module's text."""
     if not positives:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)

@@ -123,8 +123,17 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, block: int = 25
 
 
 def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEAM, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) met by range-expanding greedy search of every vector, at or above ``cosine``."""
+    """Pairs (a < b) met by range-expanding greedy search of every vector, at or above ``cosine``.
+
+    The expansion follows links both ways: in a dense group all vectors link to its middle, and only
+    from there back to each other.
+    """
     n = len(x)
+    frm, to = np.repeat(np.arange(n), links.shape[1]), links[:n].ravel()
+    frm, to = frm[to < n], to[to < n]
+    both = np.unique(np.concatenate([frm * n + to, to * n + frm]))
+    degree = np.bincount(both // n, minlength=n)
+    first, to = np.cumsum(degree) - degree, both % n
     y = x.astype(np.float32)
     start = int((y @ y.mean(0)).argmax())
     widened = 1 - 1.5 * (1 - cosine)
@@ -148,7 +157,9 @@ def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEA
             of, node, s = of[within], node[within], s[within]
             near = s >= cosine - 1e-5
             found.append(np.stack([q[of[near]], node[near]]))
-            of, node = np.repeat(of, links.shape[1]), links[node].ravel()
+            d = degree[node]
+            node = to[np.arange(d.sum()) + np.repeat(first[node] - np.cumsum(d) + d, d)]
+            of = np.repeat(of, d)
     a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
     key = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
     a, b = key // n, key % n
@@ -222,6 +233,16 @@ def _clusters(vectors: DataFrame, centroids: dict[tuple[int, int], np.ndarray],
     return vectors.select("rep", "embedding", "label", "width", "copies").mapInArrow(run, schema)
 
 
+def _first_common(clusters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least cluster that both vectors of each pair are in."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    for i in range(clusters.shape[1]):
+        for j in range(clusters.shape[1]):
+            x = clusters[a, i]
+            out = np.where(x == clusters[b, j], np.minimum(out, x), out)
+    return out
+
+
 def _graphs(tasks: DataFrame) -> DataFrame:
     """(rep, near): each task's graph."""
 
@@ -255,11 +276,8 @@ def _searched(tasks: DataFrame, cosine: float) -> DataFrame:
                 a, b = range_pairs(x, _padded(lists, n, max(len(v) for v in lists)), cosine)
                 own = np.isin(side[s:e][a] + side[s:e][b], (1, 4))
                 a, b = a[own], b[own]
-                lots = [set(c) for c in clusters[s:e]]
-                sole = len(set(map(tuple, clusters[s:e]))) == 1
-                if not sole:
-                    first = np.array([min(lots[i] & lots[j]) == cluster[s] for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-                    a, b = a[first], b[first]
+                first = _first_common(np.array(clusters[s:e], np.int64), a, b) == cluster[s]
+                a, b = a[first], b[first]
                 w = copies[s:e].astype(np.float64)
                 links = np.bincount(a, w[b], n) + np.bincount(b, w[a], n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(ids[_roots(n, a, b)])], ["rep", "links", "root"])
