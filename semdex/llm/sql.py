@@ -14,8 +14,8 @@ summed AS (
     sum(w) OVER (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS from_here
   FROM weighed),
 cut AS (SELECT *, (everything - before)::DOUBLE * w > cap::DOUBLE * from_here AS is_cut FROM summed),
-level AS (SELECT *, (everything - coalesce(sum(CASE WHEN is_cut THEN cap END) OVER (), 0))::DOUBLE / sum(CASE WHEN NOT is_cut THEN w END) OVER () AS lambda FROM cut),
-targets AS (SELECT source, source_size, CASE WHEN is_cut THEN cap::DOUBLE ELSE lambda * w END AS target FROM level),
+level AS (SELECT *, (everything - coalesce(sum(CASE WHEN is_cut THEN cap END) OVER (), 0))::DOUBLE / sum(CASE WHEN NOT is_cut THEN w END) OVER () AS lam FROM cut),
+targets AS (SELECT source, source_size, CASE WHEN is_cut THEN cap::DOUBLE ELSE lam * w END AS target FROM level),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS k FROM docs),
 each AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS r FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor((k + 1) * r + {offset_of(16)!r}::DOUBLE) - floor(k * r + {offset_of(16)!r}::DOUBLE)) * size)::BIGINT AS taken FROM each
