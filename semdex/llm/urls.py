@@ -65,10 +65,10 @@ def template_verdicts(leaves: DataFrame, depth: int, least_support: int, z: floa
     rows = leaves.withColumn("template", F.substring("host", 1, 0))  # empty
     share = lambda bad, good, n, of: (bad + strength * of) / (bad + good + unlabelled_weight * (n - bad - good) + strength)
     sums = [F.sum(x).alias(f"_{x}") for x in ("n", "good", "bad")]
-    everything = leaves.agg(*sums).select(((F.coalesce("_bad", F.lit(0)) + 1) / (F.coalesce("_bad", F.lit(0)) + F.coalesce("_good", F.lit(0)) + unlabelled_weight * F.coalesce(F.col("_n") - F.col("_bad") - F.col("_good"), F.lit(0)) + 2)).alias("share"))
-    rows = rows.crossJoin(F.broadcast(everything))  # one row
+    n, good, bad = (x or 0 for x in leaves.agg(*sums).first())
+    whole = (bad + 1) / (bad + good + unlabelled_weight * (n - bad - good) + 2)
     hosts = leaves.groupBy("host").agg(*sums)
-    rows = rows.join(hosts, "host").withColumn("share", share(F.col("_bad"), F.col("_good"), F.col("_n"), F.col("share"))).drop("_n", "_good", "_bad")
+    rows = rows.join(hosts, "host").withColumn("share", share(F.col("_bad"), F.col("_good"), F.col("_n"), F.lit(whole))).drop("_n", "_good", "_bad")
     for level in range(depth):
         segment = F.get("segments", level)
         rows = rows.withColumn("_segment", segment)
