@@ -21,4 +21,42 @@ each AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target
 SELECT doc_id, size, source_size, target, ((floor((k + 1) * r + {offset_of(16)!r}::DOUBLE) - floor(k * r + {offset_of(16)!r}::DOUBLE)) * size)::BIGINT AS taken FROM each
 """
 
-ORACLES = {"op1_mix_systematic": OP1}
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT place)::BIGINT AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS place FROM twice) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+base AS (
+  SELECT d.r, doc_id, text, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars,
+    (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN lines USING (r) LEFT JOIN covered c USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 3 * len(string_split(text, chr(10)))
+    OR 10 * len(list_filter(w, lambda x: len(x) > 1 AND x = upper(x) AND x <> lower(x))) > 5 * n_words
+    OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 6 * n_words OR 10 * len(list_filter(w, lambda x: ends_with(x, '!!'))) > 3 * n_words) AS kept
+FROM judged
+"""
+
+_REACHED = """
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a), degree AS (SELECT a, count(*)::BIGINT AS n FROM links GROUP BY a)"""
+
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),{_REACHED}
+SELECT doc_id, least(doc_id, coalesce(least.b, doc_id)) AS class_id, coalesce(degree.n, 0) AS n_links FROM documents LEFT JOIN least ON least.a = doc_id LEFT JOIN degree ON degree.a = doc_id
+"""
+
+OP10 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),{_REACHED}
+SELECT vec_id, coalesce(degree.n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id <= coalesce(least.b, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+ORACLES = {"op1_mix_systematic": OP1, "op6_quality_cascade": OP6, "op7_ngram_jaccard_join": OP7, "op10_vector_graph": OP10}

@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from semdex.llm import queries
 
@@ -30,11 +33,12 @@ def test_all_queries_are_registered():
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
-def test_mixing_equals_sql(spark, sf_dir):
-    import duckdb
-
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    ours = queries.queries()["op1_mix_systematic"](spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
-    theirs = con.sql(queries.oracle_sql()["op1_mix_systematic"]).df().sort_values("doc_id").reset_index(drop=True)
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    key = "vec_id" if name.startswith("op10") else "doc_id"
+    ours = queries.queries()[name](spark, sf_dir).toPandas().sort_values(key).reset_index(drop=True)
+    theirs = con.sql(queries.oracle_sql()[name]).df().sort_values(key).reset_index(drop=True)
     assert ours[sorted(ours.columns)].equals(theirs[sorted(theirs.columns)])
