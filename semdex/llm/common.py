@@ -106,7 +106,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=1)  # 17 MB for a chunk
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
@@ -157,7 +157,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each word's bytes, the same wherever the word stands."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = _powers(1 << max(CHUNK_BYTES.bit_length(), int(len(buf) - 1).bit_length()))
+    up, down = _powers(1 << max(20, int(len(buf) - 1).bit_length()))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[buf] * up[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

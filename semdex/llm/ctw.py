@@ -32,6 +32,8 @@ from .common import LOWER, chunks, flat, materialize, remainder, spans, word_has
 from .groups import complete_groups
 
 DEPTH = 2
+#: Text bytes that a worker scores at a time; whose distinct words it asks for together.
+TEXT_BYTES = 1 << 21
 #: Chunks of distinct words are answered by as many owners as there are shuffle partitions.
 _OWNERS = "spark.sql.shuffle.partitions"
 
@@ -52,23 +54,29 @@ def codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two << np.uint32(16)) | (one << np.uint32(8)) | ext, begin
 
 
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their sums."""
+    code, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, at, np.concatenate([n for _, n in counts]))
+    return code, total
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(code, n) over all texts of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=TEXT_BYTES):
                 buf, off = flat(part.column("text"))
-                found, n = np.unique(codes(LOWER[buf], off)[0], return_counts=True)
-                if total is None:
-                    total = np.zeros(1 << 24, np.int64)
-                total[found] += n
-        if total is not None:
-            found = np.flatnonzero(total)
+                held.append(np.unique(codes(LOWER[buf], off)[0], return_counts=True))
+                if sum(len(c) for c, _ in held) > 1 << 20:
+                    held = [_summed(held)]
+        if held:
+            found, n = _summed(held)
             for at in range(0, len(found), 1 << 16):
-                some = found[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].astype(np.int32)), pa.array(n[at : at + (1 << 16)])], ["code", "n"])
 
     return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -173,7 +181,7 @@ def _asked(docs: DataFrame, model: Model, owners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=TEXT_BYTES):
                 buf, off = flat(part.column("text"))
                 buf = LOWER[buf]
                 score = model.score(*codes(buf, off))
@@ -238,7 +246,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 n = np.array(row["n_words"], np.int64)
                 counts = np.frombuffer(b"".join(x["counts"] for x in sorted(row["got"] or [], key=lambda x: x["owner"])), np.int64)
                 place = np.frombuffer(row["words"], np.uint32)
