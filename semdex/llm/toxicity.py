@@ -99,8 +99,10 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = sigmoid(xp @ w), sigmoid(xu @ w)
-        clean = -np.log1p(-zu + 1e-12).mean() + prior * np.log1p(-zp + 1e-12).mean() if len(xu) else 0.0
+        w32 = w.astype(np.float32)  # else each product would copy the whole matrix in double precision
+        lp, lu = xp @ w32, xu @ w32
+        zp, zu = sigmoid(lp), sigmoid(lu)
+        clean = np.logaddexp(0, lu).mean() - prior * np.logaddexp(0, lp).mean() if len(xu) else 0.0
         of_clean = (xu.T @ zu / max(1, len(xu))) - prior * (xp.T @ zp) / len(xp)
         if clean < 0:
             grad = -of_clean
