@@ -54,16 +54,33 @@ class HashingProvider(Provider):
         return HASH_WIDTH
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+
+
+def _bucket(hash_: Column) -> tuple[Column, Column]:
+    """A word's bucket and sign from its md5 in hexadecimal."""
+    digit = lambda at: F.instr(F.lit(_DIGITS), F.substring(hash_, at, 1)) - 1
+    return (digit(1) * 16 + digit(2)) % HASH_WIDTH, F.when(digit(3) < 8, 1.0).otherwise(-1.0)
+
+
 def hashed(text: Column) -> Column:
-    """The hashing provider's vector as an expression."""
-    digit = lambda h, at: F.instr(F.lit(_DIGITS), F.substring(h, at, 1)) - 1
-    words = F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
-    hashes = F.transform(words, F.md5)
-    terms = F.transform(hashes, lambda h: F.struct(((digit(h, F.lit(1)) * 16 + digit(h, F.lit(2))) % HASH_WIDTH).alias("b"), F.when(digit(h, F.lit(3)) < 8, 1.0).otherwise(-1.0).alias("v")))
+    """The hashing provider's vector as an expression, for a few texts: its work is words times width."""
+    terms = F.transform(F.transform(_words(text), F.md5), lambda h: F.struct(_bucket(h)[0].alias("b"), _bucket(h)[1].alias("v")))
     add = lambda acc, t: F.transform(acc, lambda x, i: F.when(i == t["b"], x + t["v"]).otherwise(x))
     return F.aggregate(terms, F.array_repeat(F.lit(0.0), HASH_WIDTH), add)
 
 
+def hashed_entries(rows: DataFrame, key: str, text: str = "content") -> DataFrame:
+    """(key, bucket, v): the entries other than 0 of the hashing provider's vectors, for whole tables.
+
+    Words are summed up by key and bucket before they are shuffled.
+    """
+    words = rows.select(key, F.explode(_words(F.col(text))).alias("_w")).select(key, F.md5("_w").alias("_h"))
+    bucket, sign = _bucket(F.col("_h"))
+    return words.groupBy(key, bucket.cast("int").alias("bucket")).agg(F.sum(sign).alias("v")).filter("v <> 0")
+
+
 class HttpProvider(Provider):
     """A provider behind an HTTP interface; subclasses say what is asked and where the vectors are."""
 

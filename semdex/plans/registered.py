@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..operators import chunk as C
 from ..operators import diff as D
 from ..operators.duplicates import find_duplicates
-from ..operators.embed import HashingProvider, embed_column, hashed
+from ..operators.embed import HashingProvider, embed_column, hashed, hashed_entries
 from ..operators.lsh import SimHash, candidates, exploded, verified
 from ..operators.search import search, search_many
 from ..sources.scan import wanted
@@ -293,8 +293,7 @@ h AS (SELECT doc_id, md5(w) AS h FROM w),
 b AS (SELECT doc_id, (((instr('0123456789abcdef', h[1]) - 1) * 16 + instr('0123456789abcdef', h[2]) - 1) % 64)::INT AS bucket, CASE WHEN instr('0123456789abcdef', h[3]) <= 8 THEN 1.0 ELSE -1.0 END AS v FROM h)
 SELECT doc_id, bucket, sum(v)::DOUBLE AS v FROM b GROUP BY ALL HAVING sum(v) <> 0""".replace("\x0b", "\\x0b").replace("\f", "\\f").replace("\t", "\\t").replace("\n\\x0b", "\\n\\x0b").replace("\r]", "\\r]"))
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).select("doc_id", F.posexplode(hashed(F.col("content"))).alias("bucket", "v"))
-    return rows.filter("v <> 0").select("doc_id", "bucket", "v")
+    return hashed_entries(files(spark, sf_dir), "doc_id")
 
 
 def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
