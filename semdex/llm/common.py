@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Separators of words: a word is [^\x20\x09-\x0D]+.
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 #: Text bytes that a Python worker holds at a time, if no single text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
