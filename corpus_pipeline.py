@@ -22,7 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # columns of the same names as the rules' stay apart
-    return quality.judge(whole).filter("kept").select("_row.*")
+    judged = quality.judge(whole)
+    # a filter would be pushed below the measures and work them out once for each rule that reads them
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
