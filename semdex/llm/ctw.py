@@ -1,12 +1,17 @@
 """Language-model scores by context-tree weighting over bytes, beside a smoothed unigram score.
 
 A byte is eight binary decisions, each with a context tree of its own over the bytes before it, up
-to ``DEPTH`` = 2 of them. Every node holds a Krichevsky-Trofimov estimate; a node's weighted
-probability is half its own estimate's and half the product of its children's, so all depths are
-mixed. The trees are fixed by counts of three bytes in a row over all training texts, of which there
-are at most 2**24 whatever the corpus; so counts, and the table of log probabilities (a row of 256
-for each context seen: 134 MB at most), have a hard bound. A text is scored with its end, a zero
-byte, given zero bytes before it.
+to ``depth`` of them. Every node holds a Krichevsky-Trofimov estimate; a node's weighted probability
+is half its own estimate's and half the product of its children's, so all depths are mixed. A text is
+scored with its end, a zero byte, given zero bytes before it.
+
+The top of the trees, to two bytes of context, is fixed by counts of three bytes in a row over all
+training texts, of which there are at most 2**24 whatever the corpus; so counts and tables of it have
+a hard bound, and go to every task. What is deeper grows with the corpus and is never in one place:
+each task sends the distinct runs of bytes of a few megabytes of text, with their training counts, to
+the owners of their three-byte contexts' hashes. An owner has whole trees below such contexts. It
+first sends out their weighted probabilities, which the top needs, summed by two-byte context; then it
+answers each run with the log probability of its last byte.
 
 For the unigram score, the corpus's words are counted. Each task sends the distinct words of a few
 megabytes of text to the owners of their hash range, which sum up and answer; what is shuffled
@@ -28,14 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, flat, materialize, remainder, spans, word_hashes
+from .common import LOWER, chunks, flat, materialize, mix, remainder, spans, word_hashes
 from .groups import complete_groups
 
-DEPTH = 2
+#: Bytes of context at the top of the trees, and in all if none are asked for; runs are held in 64 bits.
+DEPTH, MOST_DEPTH = 2, 7
 #: Text bytes that a worker scores at a time; whose distinct words it asks for together.
 TEXT_BYTES = 1 << 21
 #: Chunks of distinct words are answered by as many owners as there are shuffle partitions.
 _OWNERS = "spark.sql.shuffle.partitions"
+#: Owners of runs of bytes for each of those, so that each has little at a time.
+RUN_OWNERS = 4
 
 
 def codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +62,29 @@ def codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two << np.uint32(16)) | (one << np.uint32(8)) | ext, begin
 
 
+def byte_runs(buf: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``codes``, of ``depth`` + 1 bytes in a row."""
+    n = len(off) - 1
+    begin = off[:-1] + np.arange(n)
+    ext = np.zeros(len(buf) + n, np.uint64)
+    keep = np.ones(len(ext), bool)
+    keep[off[1:] + np.arange(n)] = False
+    ext[keep] = buf
+    out, before = ext.copy(), ext
+    for d in range(1, depth + 1):
+        before = np.concatenate([np.zeros(min(1, len(before)), np.uint64), before[:-1]])
+        before[begin] = 0
+        out |= before << np.uint64(8 * d)
+    return out, begin
+
+
+def _owned(code: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in order of their owners, and where each owner's begin (one entry more)."""
+    owner = ((mix((code >> np.uint64(8)) & np.uint64(0xFFFFFF)) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    return order, np.searchsorted(owner[order], np.arange(owners + 1))
+
+
 def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and their sums."""
     code, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
@@ -119,6 +150,111 @@ def _byte_log10(ones: np.ndarray) -> np.ndarray:
     return sum(both[_BIT[i], ..., _PATH[i]] for i in range(8)).T
 
 
+def _stay(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted probability's logarithm, and the share of it that is the node's own estimate."""
+    both = np.logaddexp(own, below) - np.log(2)
+    return both, np.exp(own - np.log(2) - both)
+
+
+def _chance(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def deep(code: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The trees below three bytes of context, for each of a byte's eight decisions.
+
+    From sorted distinct runs of ``depth`` + 1 bytes, all of a three-byte context's among them, and
+    their counts: (two-byte context, node) as a number and the logarithm of the weighted probability
+    for each node at three bytes; the node and the chance of a 1 there for each run.
+    """
+    runs, counts, up = [code], [n.astype(np.float64)], []
+    for d in range(depth - 1, DEPTH, -1):
+        shorter, at = np.unique(runs[-1] & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        up.append(at)
+        runs.append(shorter)
+        counts.append(np.bincount(at, counts[-1], len(shorter)))
+    for level in range(8):
+        chance, below, place = np.zeros(0), np.zeros(0), np.arange(len(code))
+        for i, (run, count) in enumerate(zip(runs, counts, strict=True)):
+            prefix = run >> np.uint64(8 - level)
+            first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            group = np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]]))
+            one = ((run >> np.uint64(7 - level)) & np.uint64(1)).astype(np.float64)
+            total, ones = np.add.reduceat(count, first), np.add.reduceat(count * one, first)
+            own = kt(total - ones, ones)
+            estimate = _chance(total - ones, ones)
+            if i == 0:
+                weighted, chance = own, estimate[group]
+            else:
+                place = up[i - 1][place]
+                weighted, share = _stay(own, np.bincount(group[up[i - 1][was]], below, len(first)))
+                at = group[place]
+                chance = share[at] * estimate[at] + (1 - share[at]) * chance
+            below, was = weighted, first
+        node = lambda x: (1 << level) - 1 + ((x & np.uint64(255)) >> np.uint64(8 - level)).astype(np.int64)  # noqa: B023, E731
+        yield (((runs[-1][first] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64) << 8) | node(runs[-1][first]), below, node(code), chance
+
+
+class Top:
+    """The trees to two bytes of context, over deeper ones whose weighted probabilities are given.
+
+    The chance of a 1 at a node is ``base[row[context], node] + rest[row[context], node]`` times the
+    deeper tree's.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, key: np.ndarray, below: np.ndarray):
+        code, n = code.astype(np.int64), n.astype(np.float64)
+        deeper = np.zeros((1 << 16, 255)) if len(key) > 1 << 20 else None
+        if deeper is not None:
+            deeper[key >> 8, key & 255] = below
+        order = np.argsort(key)
+        key, below = key[order], below[order]
+        last, byte = (code >> 8) & 255, code & 255
+        of_one = np.zeros((256, 256))
+        np.add.at(of_one, (last, byte), n)
+        weighted, share = np.zeros((256, 255)), np.full((256, 255), 0.5)
+        second: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for a in np.unique(last):
+            m = last == a
+            seen, at = np.unique(code[m] >> 16, return_inverse=True)
+            counts = np.zeros((len(seen), 256))
+            counts[at, byte[m]] = n[m]
+            z, o = _nodes(counts)
+            if deeper is None:
+                want = ((seen << 8 | a)[:, None] << 8) | np.arange(255)
+                near = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+                under = np.where(key[near] == want, below[near], 0.0) if len(key) else np.zeros(want.shape)
+            else:
+                under = deeper[seen << 8 | a]
+            both, own = _stay(kt(z, o), under)
+            second[int(a)] = (seen, own, _chance(z, o))
+            weighted[a], share[a] = _stay(kt(*_nodes(of_one[a])), both.sum(0))
+        z0, o0 = _nodes(of_one.sum(0))
+        _, top = _stay(kt(z0, o0), weighted.sum(0))
+        root = top * _chance(z0, o0)
+        self.row = np.zeros(1 << 16, np.int32)
+        base, rest = [(root + (1 - top) * 0.375)[None]], [((1 - top) * 0.25)[None]]
+        size = 1
+        for a, (seen, own, estimate) in second.items():
+            own = np.concatenate([np.full((1, 255), 0.5), own])
+            estimate = np.concatenate([np.full((1, 255), 0.5), estimate])
+            base.append(root + (1 - top) * (share[a] * _chance(*_nodes(of_one[a])) + (1 - share[a]) * own * estimate))
+            rest.append((1 - top) * (1 - share[a]) * (1 - own))
+            self.row[np.arange(256) << 8 | a] = size
+            self.row[seen << 8 | a] = size + 1 + np.arange(len(seen))
+            size += 1 + len(seen)
+        self.base, self.rest = np.concatenate(base), np.concatenate(rest)
+
+    def log10(self, code: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
+        """log10 of the probability of each run's last byte; the runs as in ``deep``."""
+        row = self.row[(code >> np.uint64(8)) & np.uint64(0xFFFF)]
+        out = np.zeros(len(code))
+        for level, (_, _, node, chance) in enumerate(deep(code, n, depth)):
+            one = self.base[row, node] + self.rest[row, node] * chance
+            out += np.log10(np.where((code >> np.uint64(7 - level)) & np.uint64(1), one, 1 - one))
+        return out
+
+
 class Model:
     """``table[row[context], byte]``: log10 of the byte's probability after the two bytes before it."""
 
@@ -167,16 +303,23 @@ class Model:
         return np.add.reduceat(self.table[(self.row[code >> np.uint32(8)].astype(np.int64) << 8) | (code & np.uint32(255))], begin)
 
 
-def train(training: DataFrame) -> Model:
+def train(training: DataFrame, kind: type = Model, *below: np.ndarray) -> Model | Top:
     got = trigram_counts(training).toArrow()  # 2**24 rows at most
-    return Model(np.asarray(got.column("code").combine_chunks()), np.asarray(got.column("n").combine_chunks()))
+    return kind(np.asarray(got.column("code").combine_chunks()), np.asarray(got.column("n").combine_chunks()), *below)
+
 
+_CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, texts array<binary>, asked array<struct<owner int, hashes binary, trained binary>>"
 
-_CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, n_words array<int>, score array<double>, words binary, asked array<struct<owner int, hashes binary, trained binary>>"
 
+def _distinct_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the words as places in them, and each text's number of words."""
+    starts, ends, first = spans(buf, off)
+    seen, place = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
+    return seen, place, np.diff(first)
 
-def _asked(docs: DataFrame, model: Model, owners: int) -> DataFrame:
-    """A row for each few megabytes of text: scores, words as places in the chunk's distinct words, and these by owner."""
+
+def _asked(docs: DataFrame, owners: int) -> DataFrame:
+    """A row for each few megabytes of text: the lower-cased texts, and their distinct words by owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
@@ -184,29 +327,108 @@ def _asked(docs: DataFrame, model: Model, owners: int) -> DataFrame:
             for part in chunks(batch, limit=TEXT_BYTES):
                 buf, off = flat(part.column("text"))
                 buf = LOWER[buf]
-                score = model.score(*codes(buf, off))
-                starts, ends, first = spans(buf, off)
-                seen, place = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
-                n = np.diff(first)
+                seen, place, n = _distinct_words(buf, off)
                 held = np.asarray(part.column("held_out"))
                 trained = np.bincount(place[np.repeat(~held, n)], minlength=len(seen)).astype(np.int64)
                 owner = ((seen >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(owner, np.arange(owners + 1))
                 asked = [{"owner": i, "hashes": seen[a:b].tobytes(), "trained": trained[a:b].tobytes()} for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                row = {
-                    "chunk": at, "doc_id": part.column("doc_id").to_pylist(), "held_out": held.tolist(), "n_words": n.tolist(), "score": score.tolist(),
-                    "words": place.astype(np.uint32).tobytes(), "asked": asked,
-                }
-                yield pa.RecordBatch.from_pylist([row], _arrow)
+                data = buf.tobytes()
+                texts = [data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_pylist([{"chunk": at, "doc_id": part.column("doc_id").to_pylist(), "held_out": held.tolist(), "texts": texts, "asked": asked}], _arrow)
                 at += 1
 
     _arrow = pa.schema([
-        ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int32())), ("score", pa.list_(pa.float64())),
-        ("words", pa.binary()), ("asked", pa.list_(pa.struct([("owner", pa.int32()), ("hashes", pa.binary()), ("trained", pa.binary())]))),
+        ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary())),
+        ("asked", pa.list_(pa.struct([("owner", pa.int32()), ("hashes", pa.binary()), ("trained", pa.binary())]))),
     ])
     return docs.mapInArrow(run, _CHUNK)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Each row of chunks, the bytes of its texts on end, and where each text begins."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in row["texts"]], dtype=np.int64)])
+            yield row, np.frombuffer(b"".join(row["texts"]), np.uint8), off
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, all lowest ones first: of sorted numbers, these compress well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _run_rows(asked: DataFrame, depth: int, owners: int) -> DataFrame:
+    """(chunk, owner, runs, trained): each chunk's distinct runs with training counts, dealt to their owners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, buf, off in _rows(batches):
+            code, begin = byte_runs(buf, off, depth)
+            seen, place = np.unique(code, return_inverse=True)
+            trained = np.bincount(place[np.repeat(~np.array(row["held_out"], bool), np.diff(np.append(begin, len(code))))], minlength=len(seen))
+            order, cut = _owned(seen, owners)
+            seen, trained = seen[order], trained[order]
+            owner = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(owner), row["chunk"])), pa.array(owner.astype(np.int32)), *[pa.array([_planes(x[cut[i] : cut[i + 1]], w) for i in owner], pa.binary()) for x, w in ((seen, depth + 1), (trained, 4))]],
+                ["chunk", "owner", "runs", "trained"],
+            )
+
+    rows = asked.select("chunk", "held_out", "texts").mapInArrow(run, "chunk long, owner int, runs binary, trained binary")
+    return rows.repartition(owners, "owner").sortWithinPartitions("owner")
+
+
+def _owned_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each owner: chunks, owners and lengths of its rows, its distinct runs and their counts, and the rows' places in them."""
+    for table, starts in complete_groups(batches, "owner", 1):
+        chunk, owner = np.asarray(table.column("chunk")), np.asarray(table.column("owner"))
+        runs, trained = table.column("runs").to_pylist(), table.column("trained").to_pylist()
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            seen, at = np.unique(np.concatenate([_from_planes(x, depth + 1) for x in runs[s:e]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([_from_planes(x, 4) for x in trained[s:e]]), len(seen))
+            yield chunk[s:e], owner[s:e], np.array([len(x) // (depth + 1) for x in runs[s:e]]), seen, n, at
+
+
+def _below(rows: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithms of weighted probabilities at three bytes of context, summed by two-byte context and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, seen, n, _ in _owned_runs(batches, depth):
+            for key, weighted, _, _ in deep(seen, n, depth):
+                keys, at = np.unique(key, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weighted))], ["key", "below"])
+
+    got = rows.mapInArrow(run, "key long, below double").groupBy("key").agg(F.sum("below").alias("below")).toArrow()  # 255 * 2**16 rows at most
+    return np.asarray(got.column("key").combine_chunks()), np.asarray(got.column("below").combine_chunks())
+
+
+def _run_logs(rows: DataFrame, top: Top, depth: int) -> DataFrame:
+    """(chunk, logs): log10 of the probabilities of the runs asked for, by owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, owner, sizes, seen, n, at in _owned_runs(batches, depth):
+            logs = np.split(top.log10(seen, n, depth)[at], np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(owner), pa.array([x.tobytes() for x in logs], pa.binary())], ["chunk", "owner", "logs"])
+
+    answers = rows.mapInArrow(run, "chunk long, owner int, logs binary")
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "logs")).alias("logs"))  # the runs of one chunk of text
+
+
+def _score_of_runs(buf: np.ndarray, off: np.ndarray, answers: list[dict], depth: int, owners: int) -> np.ndarray:
+    code, begin = byte_runs(buf, off, depth)
+    seen, place = np.unique(code, return_inverse=True)
+    log = np.empty(len(seen))
+    log[_owned(seen, owners)[0]] = np.frombuffer(b"".join(x["logs"] for x in sorted(answers, key=lambda x: x["owner"])))
+    return np.add.reduceat(log[place], begin)
+
+
 def _answered(asked: DataFrame, owners: int) -> DataFrame:
     """(chunk, owner, counts, words, tokens): training counts of the words asked for; words and tokens once for each owner."""
 
@@ -232,38 +454,48 @@ def _answered(asked: DataFrame, owners: int) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, owner int, counts binary, words long, tokens long")
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if not DEPTH <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth is {depth}, not {DEPTH} to {MOST_DEPTH}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    model = train(docs.filter("NOT held_out"))
+    training = docs.filter("NOT held_out")
     owners = max(1, int(spark.conf.get(_OWNERS)))
-    asked = materialize(_asked(docs, model, owners), "asked")
+    asked = materialize(_asked(docs, owners), "asked")
     answers = materialize(_answered(asked, owners), "answers")
     sums = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    texts = docs.filter("NOT held_out").count()
+    texts = training.count()
     tokens, words, ends = sums[1] + texts, sums[0] + bool(texts), texts
 
+    many = owners * RUN_OWNERS
+    rows = asked.select("chunk", "doc_id", "held_out", "texts")
+    if depth > DEPTH:
+        runs = _run_rows(asked, depth, many)
+        model = train(training, Top, *_below(runs, depth))
+        rows = rows.join(_run_logs(runs, model, depth), "chunk")
+    else:
+        model = train(training)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                n = np.array(row["n_words"], np.int64)
-                counts = np.frombuffer(b"".join(x["counts"] for x in sorted(row["got"] or [], key=lambda x: x["owner"])), np.int64)
-                place = np.frombuffer(row["words"], np.uint32)
-                first = np.concatenate([[0], np.cumsum(n)[:-1]])
-                base, known = np.full(len(n), np.log10(ends + 1)), np.full(len(n), int(ends > 0))
-                some = n > 0
-                if some.any():
-                    base[some] += np.add.reduceat(np.log10(counts + 1.0)[place], first[some])
-                    known[some] += np.add.reduceat((counts > 0)[place], first[some], dtype=np.int64)
-                base -= (n + 1) * np.log10(float(tokens + words + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(row["score"], pa.float64())],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row, buf, off in _rows(batches):
+            _, place, n = _distinct_words(buf, off)
+            score = _score_of_runs(buf, off, row["logs"], depth, many) if depth > DEPTH else model.score(*codes(buf, off))
+            counts = np.frombuffer(b"".join(x["counts"] for x in sorted(row["got"] or [], key=lambda x: x["owner"])), np.int64)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            base, known = np.full(len(n), np.log10(ends + 1)), np.full(len(n), int(ends > 0))
+            some = n > 0
+            if some.any():
+                base[some] += np.add.reduceat(np.log10(counts + 1.0)[place], first[some])
+                known[some] += np.add.reduceat((counts > 0)[place], first[some], dtype=np.int64)
+            base -= (n + 1) * np.log10(float(tokens + words + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     got = answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "counts")).alias("got"))  # the words of one chunk of text
-    rows = asked.select("chunk", "doc_id", "held_out", "n_words", "score", "words").join(got, "chunk", "left")
+    rows = rows.join(got, "chunk", "left")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

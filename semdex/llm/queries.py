@@ -55,7 +55,7 @@ def op8_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(_table(spark, sf_dir, "documents"), ctw.held_out())
+    return ctw.score(_table(spark, sf_dir, "documents"), ctw.held_out(), depth=5)
 
 
 def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

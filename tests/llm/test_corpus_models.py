@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semdex.llm import ctw, ngram_join, vector_graph
+from semdex.llm import ctw, ngram_join, queries, vector_graph
 from semdex.llm.common import global_rank, remainder
 from semdex.llm.graph import components
 
@@ -169,6 +170,51 @@ def test_ctw_equals_its_definition(make):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(tokens), sum(training[w] > 0 for w in tokens), n)
 
 
+@pytest.mark.parametrize("depth", [3, 4, 6])
+def test_deep_ctw_equals_its_definition(make, depth):
+    """One decision after another, by a plain recursion over suffixes of any length."""
+    rng = random.Random(depth)
+    rows = [(i, " ".join(rng.choice(["abra", "Kadabra", "é", "x"]) for _ in range(rng.randint(0, 6))), "en", "a") for i in range(14)] + [(99, None, None, None), (98, "unseen", "en", "a")]
+    low = {i: (t or "").translate(LOW).encode() for i, t, *_ in rows}
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    decisions = lambda byte: [((1 << k) | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)]
+    for data in (bytes(depth) + low[i] + b"\0" for i in low if i % 4 != 2):
+        for at in range(depth, len(data)):
+            for d in range(depth + 1):
+                for node, bit in decisions(data[at]):
+                    counts[data[at - d : at], node][bit] += 1
+                    if d:
+                        children[data[at - d + 1 : at], node].add(data[at - d : at])
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(context, node):
+        own = kt(*counts.get((context, node), (0, 0)))
+        return own if len(context) == depth else np.logaddexp(own, sum(weighted(c, node) for c in children.get((context, node), ()))) - math.log(2)
+
+    def one(context, node, d=0):
+        sub = context[depth - d :]
+        a, b = counts.get((sub, node), (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        stay = 1.0 if d == depth else math.exp(kt(a, b) - math.log(2) - weighted(sub, node))
+        return own if d == depth else stay * own + (1 - stay) * one(context, node, d + 1)
+
+    got = {r["doc_id"]: r["score"] for r in ctw.score(make(rows), F.col("doc_id") % 4 == 2, depth).collect()}
+    for i in (2, 6, 98, 99, 3):
+        data = bytes(depth) + low[i] + b"\0"
+        chances = ((one(data[at - depth : at], node), bit) for at in range(depth, len(data)) for node, bit in decisions(data[at]))
+        assert got[i] == pytest.approx(sum(math.log10(p if bit else 1 - p) for p, bit in chances), abs=1e-9)
+
+
+def test_ctw_query_uses_long_contexts(spark, tmp_path):
+    """The last byte depends on the first, which two bytes of context can't see."""
+    rows = [(i, ("bxxxc " if i % 2 else "dxxxe ") * 20, "en", "a", 0) for i in range(40)]
+    probes = [i for i in range(1000, 1060) if zlib.crc32(str(i).encode()) % 7 == 2]  # held out
+    rows += [(i, "bxxxc" if i == probes[0] else "bxxxe", "en", "a", 0) for i in probes[:2]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in queries.op9_ctw_score(spark, str(tmp_path)).collect()}
+    assert got[probes[0]] > got[probes[1]] + 0.5
+
+
 def test_ctw_is_a_distribution():
     code, n = np.array([(97 << 8) | 98, (97 << 16) | (98 << 8) | 99, 97], np.int64), np.array([5, 2, 3])
     model = ctw.Model(code, n)
