@@ -18,8 +18,8 @@ is left out, and tasks return a row for each document they hold.
 
 Defined results: null texts, and texts without a word, link with nothing; a text of one to four words
 is a set of one run; equal rows link with each other; rows with a null id are left as they are; rows
-that repeat an id with another text count as one more document under that id; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+that repeat an id with another text count as one more document under that id, in the same class; an
+empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -271,8 +271,8 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     need = least_matches(threshold, tolerance)
     sketches = materialize(sketch(docs), "sketches")
     usable = sketches.filter("n_runs > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_runs").alias("n_runs"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
-    classes = materialize(classes, "classes")
+    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_runs").alias("n_runs"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # an id may stand for several sets, a number for one
 
     rows = classes.select("rep", F.explode("buckets").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -280,19 +280,29 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     links = candidate_links(_blocks(rows, F.ceil(F.col("n") / PART), "bucket", "rep"), need)
     families = components(links)
 
-    members = families.withColumnsRenamed({"node": "rep"}).join(classes.select("rep", "set_id", "copies", "n_runs"), "rep")
+    members = families.withColumnsRenamed({"node": "rep"}).join(classes.select("rep", "least", "set_id", "copies", "n_runs"), "rep")
     members = materialize(members, "members")
     sizes = members.groupBy(F.col("component").alias("_family")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n_runs") / PART_RUNS)).alias("parts"))
-    members = members.join(sizes, F.col("component") == F.col("_family")).select("rep", "component", "set_id", "copies", "parts")
+    members = members.join(sizes, F.col("component") == F.col("_family")).select("rep", "least", "component", "set_id", "copies", "parts")
     few = members.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(members) if few else members, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(F.broadcast(members) if few else members, "least")
     found = materialize(verified(_blocks(_with_runs(texts), F.col("parts"), "component", "rep"), need, threshold), "verified")
 
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
+    ids = classes.select("rep", "least")
+    linked_ids = found.select("rep", "root").join(ids, "rep").select("root", F.col("least").alias("a")).join(ids.withColumnsRenamed({"rep": "root", "least": "b"}), "root").select("a", "b")
+    again = sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("_first"), F.max("set_id").alias("_last")).filter("_first <> _last").select("doc_id")
+    again = materialize(again, "again")
+    repeats = not again.isEmpty()
+    if repeats:  # all sets of an id are of its class
+        linked_ids = linked_ids.union(usable.join(again, "doc_id").select(F.col("doc_id").alias("a"), "set_id").join(classes.select("set_id", F.col("least").alias("b")), "set_id").select("a", "b"))
+    groups = components(linked_ids).withColumnsRenamed({"node": "least"})
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    result = classes.select("set_id", "rep", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
-    result = result.select(F.col("set_id").alias("_set"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
+    result = classes.select("set_id", "rep", "least", "copies").join(linked, "rep", "left").join(groups, "least", "left")
+    result = result.select(F.col("set_id").alias("_set"), F.coalesce("component", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
     out = sketches.select("doc_id", "set_id").join(result, F.col("set_id") == F.col("_set"), "left")
+    if repeats:
+        out = out.join(groups.join(again, F.col("least") == F.col("doc_id")).select(F.col("least").alias("_id"), "component"), F.col("doc_id") == F.col("_id"), "left")
+        out = out.withColumn("class_id", F.coalesce("component", "class_id"))
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", mine.alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 

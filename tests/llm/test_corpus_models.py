@@ -92,6 +92,22 @@ def test_ngram_join_equals_brute_force(make, odd_rows, monkeypatch, part):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_ in rows if i is None or want[i] == i)
 
 
+def test_ids_that_repeat_with_other_texts(make):
+    """A ~ B and B ~ C but not A ~ C, where one id has A and B; and an id that only repetition leads to."""
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join([*(f"a{i}" for i in range(10)), *words[10:]]), " ".join(words), " ".join([*words[:90], *(f"c{i}" for i in range(10))])
+    sets = [grams(x) for x in (a, b, c)]
+    like = lambda x, y: len(x & y) * 5 >= 4 * len(x | y)
+    assert like(sets[0], sets[1]) and like(sets[1], sets[2]) and not like(sets[0], sets[2])
+    other = " ".join(f"o{i}" for i in range(50))
+    for rows in ([(5, a), (5, b), (9, c)], [(5, b), (5, a), (9, c), (5, a)]):
+        rows = rows + [(21, other), (20, other), (21, "alone"), (21, "")]
+        got = Counter(tuple(r) for r in ngram_join.join(make([(i, t, "en", "a") for i, t in rows]).coalesce(1)).collect())
+        texts = Counter(t for _, t in rows)
+        degree = {a: texts[a] + texts[b] - 1, b: texts[a] + texts[b] + texts[c] - 1, c: texts[b] + texts[c] - 1, other: 1, "alone": 0, "": 0}
+        assert got == Counter((i, 5 if i < 20 else 20, degree[t]) for i, t in rows)
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     need = ngram_join.least_matches()
     t = 0.8
