@@ -68,27 +68,40 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 16) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    slim = global_rank(slim, ["source"], ["size", "doc_id"])
+    return _mixed(docs, weights, most, seed)
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], most: int, seed: int, *key: Column) -> DataFrame:
+    """As ``mix``, in order of ``key`` too where size and id agree, with the key's columns."""
+    names = [f"_key{i}" for i in range(len(key))]
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    slim = global_rank(slim, ["source"], ["size", "doc_id", *names])
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, most).select(F.col("source").alias("_source"), "source_size", "target")
     rows = slim.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.lit(offset_of(seed))
     rows = rows.withColumn("copies", F.floor((F.col("rank") + 1) * each + at) - F.floor(F.col("rank") * each + at))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *names)
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of the whole row; where nulls stand counts too."""
+    columns = [F.col(c) for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def repeat(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 16) -> DataFrame:
     """The mixed documents themselves, each as often as it is taken, with the columns of ``docs``.
 
-    Rows that agree in id, source and number of words count as one document here.
+    Only rows that agree in all columns count as one document here.
     """
-    key = ["doc_id", "source", "_size"]
-    copies = mix(docs, weights, most, seed).groupBy("doc_id", "source", F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    key = ["doc_id", "source", "_size", "_content"]
+    copies = _mixed(docs, weights, most, seed, _content(docs)).withColumnsRenamed({"size": "_size", "_key0": "_content"})
+    copies = copies.groupBy(*key).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
     copies = copies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_copies")
     same = F.lit(True)
     for i, k in enumerate(key):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).dropDuplicates(key).join(copies, same)
+    rows = docs.withColumns({"_size": word_count(F.col("text")), "_content": _content(docs)}).dropDuplicates(key).join(copies, same)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -52,6 +52,16 @@ def test_mix(make, odd_rows):
     assert Counter(r["doc_id"] for r in repeated.collect()) == +Counter({i: sum(r["copies"] for r in got if r["doc_id"] == i) for i, *_ in rows})
 
 
+def test_repeating_loses_no_text(make):
+    """Texts of one id (or none), source and number of words are documents of their own."""
+    rows = [(None, f"null id {i}", "en", "a") for i in range(20)] + [(7, f"same id {i}", "en", "a") for i in range(20)] + [(8, "equal rows here", "en", "a")] * 3 + [(9, None, "en", None), (9, None, None, "en")]
+    docs = make(rows)
+    got = Counter(r["text"] for r in mixing.repeat(docs, weights=(1,)).collect())
+    assert got == Counter(t for _, t, _, _ in rows if t)  # a single source that is taken once
+    twice = Counter(map(tuple, mixing.repeat(docs, seed=3).collect()))
+    assert twice == Counter(map(tuple, mixing.repeat(docs.repartition(5), seed=3).collect()))
+
+
 def test_shards(make, odd_rows):
     rows = [(100 + i, f"text {i % 97}", "en", "s" + str(i % 7 % 3)) for i in range(500)] + odd_rows
     docs = make(rows)
