@@ -282,9 +282,15 @@ _IMPORTING = ("import a", "from b import (", "  c,", ")", "", "x = 1", "import l
 @registered("SELECT doc_id, (doc_id % 8)::INT AS blanks, (doc_id % 8 + 5)::INT AS line_end FROM documents")
 def import_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file gets leading blank lines and an import block; a block counts from line 1."""
-    rows = files(spark, sf_dir).select("doc_id", F.concat(F.array_repeat(F.lit(""), (F.col("doc_id") % 8).cast("int")), F.array(*map(F.lit, _IMPORTING))).alias("lines"))
-    block = C.import_block(F.col("lines"), F.lit("python"))
-    return rows.select("doc_id", (F.col("doc_id") % 8).cast("int").alias("blanks"), block["line_end"].alias("line_end"))
+    return _import_blocks(spark, sf_dir).select("doc_id", (F.col("doc_id") % 8).cast("int").alias("blanks"), F.col("block.line_end").alias("line_end"))
+
+
+def _import_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lines, block): each file's own lines after those put before them, and the block found."""
+    own = F.coalesce(T.lines(F.col("content")), F.array().cast("array<string>"))
+    put = F.concat(F.array_repeat(F.lit(""), (F.col("doc_id") % 8).cast("int")), F.array(*map(F.lit, _IMPORTING)), own)
+    rows = files(spark, sf_dir).select("doc_id", put.alias("lines"))
+    return rows.withColumn("block", C.import_block(F.col("lines"), F.lit("python")))
 
 
 @registered("""

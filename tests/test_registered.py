@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from semdex.plans.registered import ORACLES, QUERIES
+from semdex.plans.registered import _IMPORTING, ORACLES, QUERIES, _import_blocks
 from semdex.streaming.files import SOURCE, StreamedIndex
 
 
@@ -34,6 +34,17 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "CartesianProduct" not in plan
 
 
+def test_import_block_sees_whole_files(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in _import_blocks(spark, sf_dir).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        own = text.removesuffix("\n").split("\n") if text else []
+        assert got[i]["lines"] == [""] * (i % 8) + list(_IMPORTING) + own
+        assert got[i]["block"]["line_start"] == 1 and got[i]["block"]["line_end"] == i % 8 + 5
+        assert got[i]["block"]["content"].strip("\n") == "import a\nfrom b import (\n  c,\n)"
+
+
 def test_a_stream_of_files(spark, tmp_path):
     from semdex.operators.embed import HashingProvider
 
