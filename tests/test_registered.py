@@ -1,10 +1,12 @@
 import glob
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 
-from semdex.plans.registered import _IMPORTING, ORACLES, QUERIES, _import_blocks
+from semdex.plans.registered import _IMPORTING, ORACLES, QUERIES, _import_blocks, _text_chunks
 from semdex.streaming.files import SOURCE, StreamedIndex
 
 
@@ -34,6 +36,22 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "CartesianProduct" not in plan
 
 
+def test_text_duplicates_equal_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(150)] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > share else f"e{rng.randint(0, 400)}" for w in words) for words in base for share in (0, 0, 0.01, 0.03, 0.06)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = _text_chunks(spark, str(tmp_path)).select("id", "file_path", "embedding").collect()
+    x = np.array([r["embedding"] for r in chunks])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    like = x @ x.T
+    want = {tuple(sorted((chunks[i]["id"], chunks[j]["id"]))) for i, j in zip(*np.nonzero(like >= 0.95), strict=True) if chunks[i]["file_path"] != chunks[j]["file_path"]}
+    found = {(r["id_a"], r["id_b"]): r["similarity"] for r in QUERIES["text_duplicates"](spark, str(tmp_path)).collect()}
+    assert found.keys() == want
+    assert any(v < 0.99 for v in found.values())
+
+
 def test_import_block_sees_whole_files(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r for r in _import_blocks(spark, sf_dir).collect()}
