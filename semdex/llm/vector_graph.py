@@ -7,7 +7,9 @@ reverse links. A vector's lists from all its clusters are united. Then each clus
 vectors in the united graph: greedily from the medoid with a bounded beam, and from all hits on, and
 from the vector itself, along the graph for as long as what is met lies within a widened radius.
 Pairs met are verified in double precision. An audit compares a sample of vectors with all others
-exactly; if too few links were found, the search is repeated with more overlap.
+exactly, and grows until it meets enough groups of linked vectors. Recall is averaged over vectors
+that have links, each by one over its group's size, so that groups count alike; if it is too low, or
+a sample met no link at all, the search is repeated with more overlap.
 
 A cluster above ``PART`` vectors is dealt out as pairs of parts, so tasks are bounded and no pair is
 left out. A pair that shares two clusters counts in the first. Equal vectors of a label are one.
@@ -40,6 +42,8 @@ CLUSTER, PART = 1000, 1024
 #: Centroids in all, and vectors of the sample for each.
 MOST_CENTROIDS, SAMPLE_EACH = 4096, 24
 AUDITED, LEAST_RECALL = 256, 0.97
+#: Audited vectors at most; linked groups, about, that the audit should meet; overlap at most if it meets none.
+MOST_AUDITED, LEAST_GROUPS, BLIND_OVERLAP = 8192, 64, 8
 
 
 def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,12 +304,32 @@ def _exact_links(vectors: DataFrame, cosine: float, audited: int) -> tuple[DataF
             for key, (ids, q) in sets.items():
                 rows = np.flatnonzero((label == key[0]) & (width == key[1]))
                 if len(rows):
-                    near = (q @ _matrix(pa.chunked_array([batch.column("embedding").take(pa.array(rows))])).T >= cosine) & (ids[:, None] != rep[rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * copies[rows]).sum(1).astype(np.int64))], ["rep", "exact"])
+                    x = _matrix(pa.chunked_array([batch.column("embedding").take(pa.array(rows))]))
+                    for at in range(0, len(ids), 256):
+                        near = (q[at : at + 256] @ x.T >= cosine) & (ids[at : at + 256, None] != rep[rows])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256]), pa.array((near * copies[rows]).sum(1).astype(np.int64))], ["rep", "exact"])
 
     return vectors.select("rep", "label", "width", "embedding", "copies").mapInArrow(run, "rep long, exact long").groupBy("rep").agg(F.sum("exact").alias("exact")), queries.num_rows
 
 
+def _audit(vectors: DataFrame, cosine: float) -> tuple[DataFrame, bool]:
+    """As ``_exact_links``, of a sample that meets enough linked groups; and whether it has all vectors."""
+    n, audited = vectors.count(), AUDITED
+    while True:
+        exact = materialize(_exact_links(vectors, cosine, audited)[0], "audit")
+        groups = exact.agg(F.coalesce(F.sum(F.when(F.col("exact") > 0, 2 / (1 + F.col("exact")))), F.lit(0.0))).first()[0]
+        if audited >= n or groups >= LEAST_GROUPS or audited >= MOST_AUDITED:
+            return exact, audited >= n
+        audited = min(4 * audited, MOST_AUDITED)
+
+
+def _recall(exact: DataFrame, sums: DataFrame) -> float | None:
+    """Mean share of an audited vector's links that were found, by one over its group's size; None without links."""
+    weight, found = 1 / (1 + F.col("exact")), F.least("exact", F.coalesce("links", F.lit(0)))
+    got = exact.filter("exact > 0").join(sums, "rep", "left").agg(F.sum(weight * found / F.col("exact")), F.sum(weight)).first()
+    return got[0] / got[1] if got[1] else None
+
+
 def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tuple[DataFrame, float]:
     """One row per vector (vec_id, n_links, component_id), and the audited recall of links."""
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -313,8 +337,7 @@ def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tu
     rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
     vectors = rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
     vectors = materialize(vectors.withColumn("width", F.size("embedding")), "vectors")
-    exact, _ = _exact_links(vectors, cosine, AUDITED)
-    exact = materialize(exact, "audit")
+    exact, whole = _audit(vectors, cosine)
     while True:
         centroids = fit_centroids(vectors, overlap)
         placed = materialize(_clusters(vectors, centroids, overlap), "placed")
@@ -325,9 +348,10 @@ def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tu
         near = _graphs(tasks).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list for each task of the vector
         found = materialize(_searched(tasks.join(near, "rep"), cosine), "found")
         sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        seen = exact.join(sums, "rep").agg(F.coalesce(F.sum("exact"), F.lit(0)), F.coalesce(F.sum(F.least("exact", "links")), F.lit(0))).first()
-        recall = seen[1] / seen[0] if seen[0] else 1.0
-        if recall >= LEAST_RECALL or overlap >= max([1, *(len(c) for c in centroids.values())]):
+        recall, most = _recall(exact, sums), max([1, *(len(c) for c in centroids.values())])
+        if recall is None:
+            recall, most = (1.0, most) if whole else (0.0, min(most, BLIND_OVERLAP))
+        if recall >= LEAST_RECALL or overlap >= most:
             break
         overlap += 1
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})

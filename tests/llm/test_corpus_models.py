@@ -281,6 +281,30 @@ def test_vector_links(spark, monkeypatch, cluster, part):
     assert sum(got[i]["component_id"] == want[i] for i in got) >= 0.99 * len(got)
 
 
+def test_audit_sees_small_groups_beside_a_dense_one(spark):
+    """Pairs that weren't found count, though one dense group has nearly all links."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x)
+    centre, at, rows = unit(rng.standard_normal(32)), 0, []
+    for _ in range(700):
+        rows.append((at, [float(x) for x in np.float32(centre + rng.standard_normal(32) * 0.005)], 1))
+        at += 1
+    for i in range(1300):
+        b = unit(rng.standard_normal(32))
+        for _ in range(2 if i < 100 else 1):
+            rows.append((at, [float(x) for x in np.float32(b + rng.standard_normal(32) * 0.005)], 1))
+            at += 1
+    table = spark.createDataFrame([(i, e, label, len(e), 1) for i, e, label in rows], "rep long, embedding array<float>, label int, width int, copies long")
+    exact, _ = vector_graph._audit(table, 0.98)
+    exact = exact.localCheckpoint()
+    lost = spark.createDataFrame([(i, 699 if i < 700 else 0) for i in range(at)], "rep long, links long")
+    kept = spark.createDataFrame([(i, 699 if i < 700 else int(i < 900)) for i in range(at)], "rep long, links long")
+    assert exact.filter("exact > 0 AND rep >= 700").count() >= 60
+    assert vector_graph._recall(exact, lost) < 0.5
+    assert vector_graph._recall(exact, kept) == pytest.approx(1)
+    assert vector_graph._recall(exact.filter("exact = 0"), kept) is None
+
+
 def test_vectors_of_nothing(spark):
     found, recall = vector_graph.links(vectors(spark, [(1, [1.0], 1)]).limit(0))
     assert found.collect() == [] and recall == 1.0
