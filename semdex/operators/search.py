@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,50 @@ def search_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = rows.select("query_id", "id", vectors.l2(F.col("embedding"), F.col("query")).alias("_distance"))
     order = Window.partitionBy("query_id").orderBy("_distance", "id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", vectors.score(F.col("_distance")).alias("score"), "rank")
+
+
+#: Vectors of a block; a task compares a block of queries with a block of rows.
+QUERY_BLOCK, ROW_BLOCK = 256, 4096
+
+
+def _blocks(rows: DataFrame, size: int, side: str) -> DataFrame:
+    """(ids, vectors) for each ``size`` rows (id, vector) of a partition, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors = np.asarray(part.column(1).flatten(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0)).tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], [f"ids_{side}", f"vectors_{side}"])
+
+    return rows.mapInArrow(run, f"ids_{side} binary, vectors_{side} binary")
+
+
+def search_blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As ``search_many``, for queries of any number: blocks of queries meet blocks of rows.
+
+    Each pair of blocks keeps the k nearest rows of each query; ids and vectors aren't null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                ids, asked = (np.frombuffer(row[f"ids_{s}"], np.int64) for s in "rq")
+                x, q = (np.frombuffer(row[f"vectors_{s}"], np.float64).reshape(len(i), -1) for s, i in (("r", ids), ("q", asked)))
+                near = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * (q @ x.T)
+                if len(ids) > k:  # all that may be among the k nearest, ties too; then exact distances
+                    bound = np.partition(near, k - 1, 1)[:, k - 1 : k]
+                    of, at = np.nonzero(near <= bound + 1e-9 * (1 + np.abs(bound) + (q * q).sum(1)[:, None]))
+                else:
+                    of, at = np.nonzero(np.ones(near.shape, bool))
+                distance = np.sqrt(((x[at] - q[of]) ** 2).sum(1))
+                order = np.lexsort((ids[at], distance, of))
+                of, at, distance = of[order], at[order], distance[order]
+                best = np.arange(len(of)) - np.searchsorted(of, of) < k
+                yield pa.RecordBatch.from_arrays([pa.array(asked[of[best]]), pa.array(ids[at[best]]), pa.array(distance[best])], ["query_id", "id", "_distance"])
+
+    rows = _blocks(chunks.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")), ROW_BLOCK, "r")
+    asked = _blocks(queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")), QUERY_BLOCK, "q")
+    found = rows.crossJoin(asked).mapInArrow(run, "query_id long, id long, _distance double")
+    order = Window.partitionBy("query_id").orderBy("_distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", vectors.score(F.col("_distance")).alias("score"), "rank")

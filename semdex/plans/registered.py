@@ -17,7 +17,7 @@ from ..operators import diff as D
 from ..operators.duplicates import find_duplicates
 from ..operators.embed import HashingProvider, embed_column, hashed, hashed_entries
 from ..operators.lsh import SimHash, candidates, exploded, verified
-from ..operators.search import search, search_many
+from ..operators.search import search, search_blocks, search_many
 from ..sources.scan import wanted
 from .corpus import FILES, VECTOR_CHUNKS, files, table, vector_chunks
 
@@ -107,6 +107,16 @@ def knn_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search_many(vector_chunks(spark, sf_dir), asked, 5), "score")
 
 
+@registered("""
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT query_id, vec_id AS id, list_distance(embedding::DOUBLE[], v) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding::DOUBLE[], v), vec_id) AS rank FROM embeddings, q)
+SELECT query_id, id, round(greatest(0, 1 - d / 2), 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def knn_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 is a query; ``knn_multi_query`` is the small batch."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _rounded(search_blocks(vector_chunks(spark, sf_dir), asked, 5), "score")
+
+
 @registered("""
 WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
@@ -312,10 +322,13 @@ def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A benchmark item as the query, over all chunks of all documents."""
-    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(hashed(F.col("text")).alias("e")).first()[0]
-    size = sum(x * x for x in asked) ** 0.5 or 1.0
-    return _rounded(search(_text_chunks(spark, sf_dir), [x / size for x in asked], limit=10), "score")
+    """Every benchmark item whose id is divisible by 50 as a query, over all chunks of all documents."""
+    chunks, e = _text_chunks(spark, sf_dir), F.col("e")
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), hashed(F.col("text")).alias("e"))
+    asked = asked.select("query_id", F.when(V.norm(e) > 0, F.transform(e, lambda x: x / V.norm(e))).otherwise(e).alias("query"))
+    records = chunks.select("id", "repo", F.col("file_path").alias("path"), F.col("line_start").alias("line"), F.col("content").alias("snippet"), F.coalesce("lang", F.lit("")).alias("lang"))
+    found = search_blocks(chunks, asked, 10).join(records, "id")
+    return _rounded(found, "score").select("query_id", "rank", "repo", "path", "line", "score", "snippet", "lang")
 
 
 @registered()

@@ -5,7 +5,10 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from semdex.operators import search as search_module
+from semdex.operators.embed import hashed
 from semdex.plans.registered import _IMPORTING, ORACLES, QUERIES, _import_blocks, _text_chunks
 from semdex.streaming.files import SOURCE, StreamedIndex
 
@@ -36,6 +39,24 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "CartesianProduct" not in plan
 
 
+def test_searches_ask_with_the_whole_query_set(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(search_module, "ROW_BLOCK", 64)
+    monkeypatch.setattr(search_module, "QUERY_BLOCK", 3)
+    ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}
+    assert {r["query_id"] for r in QUERIES["knn_query_set"](spark, sf_dir).collect()} == ids and len(ids) > 3
+    items = {r["item_id"]: r["e"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id % 50 = 0").select("item_id", hashed(F.col("text")).alias("e")).collect()}
+    chunks = _text_chunks(spark, sf_dir).select("id", "file_path", "line_start", "embedding").orderBy("id").collect()
+    x = np.array([r["embedding"] for r in chunks], float)
+    got = QUERIES["text_search"](spark, sf_dir).collect()
+    assert {r["query_id"] for r in got} == set(items)
+    for i, e in items.items():
+        distance = np.linalg.norm(x - np.array(e, float) / (np.linalg.norm(e) or 1), axis=1).round(12)
+        best = np.lexsort((np.arange(len(x)), distance))[:10]
+        mine = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
+        assert [r["score"] for r in mine] == pytest.approx([max(0, 1 - distance[j] / 2) for j in best], abs=2e-6)
+        assert len({(r["path"], r["line"]) for r in mine}) == 10
+
+
 def test_text_duplicates_equal_brute_force(spark, tmp_path):
     rng = random.Random(5)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(150)] for _ in range(12)]
