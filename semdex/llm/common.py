@@ -1,39 +1,54 @@
-"""What the operators share: scratch tables, global ranks, and words of whole Arrow batches."""
+"""What the operators share: scratch tables, bounded Arrow streams, global ranks, and words of whole batches."""
 
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators of words: a word is [^\x20\x09-\x0D]+.
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 #: Text bytes that a Python worker holds at a time, if no single text is longer.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to a Python worker, if no single row is longer, and of a scratch table's row group.
+BATCH_BYTES = 4 << 20
+ROW_GROUP = 16 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a folder of this machine is made and set.
+    Only where that is unset and all runs on this machine, as in tests, a local folder is made and set.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        made = spark.sparkContext.getCheckpointDir()
-        if made is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            made = spark.sparkContext.getCheckpointDir()
-        at = made
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        at = spark.sparkContext.getCheckpointDir()
     return str(at).rstrip("/")
 
 
+def stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow``, with batches of bounded size: by default they hold up to 64 MB on both sides.
+
+    The bound is a setting of the session; one that the session has set itself stays.
+    """
+    if df.sparkSession.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back, which cuts its lineage.
 
@@ -41,8 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # a task holds a row group until it is written
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def global_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rank", total: str | None = None) -> DataFrame:
@@ -50,16 +74,19 @@ def global_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
 
     The rows are range-partitioned by group and order, so a group of any size is spread over many
     tasks; ``order`` should end in a unique column. Ranks come from counts for each piece of a group
-    in a partition, of which there are at most partitions plus groups.
+    in a partition, of which there are at most partitions plus groups. ``df`` is written first, as a
+    range partitioning reads its input twice, once for a sample.
     """
     keys = [*group, *order]
+    unranked = materialize(df, "unranked")
     put = (
-        df.repartitionByRange(*keys)
+        unranked.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33))
     )
     put = materialize(put, "rank")
+    discard(unranked)
     pieces = put.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*[F.col(g) for g in group]).orderBy("_part")
     everything = Window.partitionBy(*[F.col(g) for g in group])
@@ -93,6 +120,12 @@ LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; numpy's own way of this is many times slower for whole numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

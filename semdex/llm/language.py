@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SEPARATOR, chunks, flat
+from .common import IS_SEPARATOR, chunks, flat, stream
 from .sampling import up_to
 
 UNKNOWN = "und"
@@ -151,7 +151,7 @@ class Model:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on (doc_id, text, lang); rows without a language or a letter teach nothing."""
+    """Fit on (doc_id, text, lang); rows without an id, a language or a letter teach nothing."""
     rows = labelled.filter(F.col("lang").isNotNull())
     chosen = up_to(rows.select("doc_id", "lang", "text"), "lang", per_language, "language").select("lang", "text")
 
@@ -164,7 +164,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                     x = features(part.column("text")).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "x"])
 
-    got = chosen.mapInArrow(extract, "lang string, x binary").toArrow()
+    got = stream(chosen, extract, "lang string, x binary").toArrow()
     langs = got.column("lang").to_pylist()
     x = np.stack([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()]).astype(np.float32) if langs else np.zeros((0, DIMENSIONS), np.float32)
     order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
@@ -182,4 +182,4 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
                 found, score = model.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *names])
 
-    return docs.mapInArrow(predict, schema)
+    return stream(docs, predict, schema)

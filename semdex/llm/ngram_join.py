@@ -5,7 +5,7 @@ class, and one of them stands for all. The join over the representatives:
 
 1. Each has 63 MinHash values; those equal in any of 21 runs of three values share a bucket. A pair
    at the threshold misses every bucket with a chance of 3 in 10 million.
-2. In a bucket, the values of each pair are compared eight at a time. After n values of which m
+2. In a bucket, the values of each pair are compared seven at a time. After n values of which m
    agree, the similarity's posterior (uniform prior) is Beta(m + 1, n - m + 1); a pair whose
    posterior chance of reaching the threshold is below the tolerance is dropped. A task sends out
    links that span the surviving pairs, never all of them.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, flat, materialize, mix, spans, word_hashes
+from .common import LOWER, chunks, distinct, flat, materialize, mix, spans, stream, word_hashes
 from .graph import components
 from .groups import complete_groups
 
@@ -111,7 +111,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys = mix(bands[:, :, 0] * _PLACES[0] + bands[:, :, 1] * _PLACES[1] + bands[:, :, 2] * _PLACES[2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 n, name = [], []
                 for i in range(part.num_rows):
-                    s = np.unique(values[begin[i] : begin[i + 1]])
+                    s = distinct(values[begin[i] : begin[i + 1]])
                     n.append(len(s))
                     name.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5BF03635)).sum()], np.uint64).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -119,7 +119,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_runs", "set_id", "signature", "buckets"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_runs int, set_id binary, signature binary, buckets array<long>")
+    return stream(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_runs int, set_id binary, signature binary, buckets array<long>")
 
 
 def _blocks(rows: DataFrame, parts: Column, group: str, member: str) -> DataFrame:
@@ -202,7 +202,7 @@ def candidate_links(buckets: DataFrame, need: np.ndarray) -> DataFrame:
             linked = np.flatnonzero(root != np.arange(len(rep)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], ["a", "b"])
 
-    return buckets.select("task", "side", "rep", "signature").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return stream(buckets.select("task", "side", "rep", "signature").repartition("task").sortWithinPartitions("task"), run, "a long, b long")
 
 
 def verified(members: DataFrame, need: np.ndarray, threshold: Fraction) -> DataFrame:
@@ -218,7 +218,7 @@ def verified(members: DataFrame, need: np.ndarray, threshold: Fraction) -> DataF
         links, kept = np.zeros(len(sets), np.int64), []
         for a, b in _pairs(side):
             a, b = _surviving(sig, a, b, need)
-            for i in np.unique(a):
+            for i in distinct(a):
                 others = b[a == i]
                 own = ids[begin[i] : begin[i] + sizes[i]]
                 mark[own] = True
@@ -247,7 +247,7 @@ def verified(members: DataFrame, need: np.ndarray, threshold: Fraction) -> DataF
                 out.append((rep[rows], links, rep[rows][root]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["rep", "links", "root"])
 
-    return members.select("task", "side", "rep", "copies", "runs").repartition("task").sortWithinPartitions("task").mapInArrow(run, "rep long, links long, root long")
+    return stream(members.select("task", "side", "rep", "copies", "runs").repartition("task").sortWithinPartitions("task"), run, "rep long, links long, root long")
 
 
 def _with_runs(rows: DataFrame) -> DataFrame:
@@ -258,12 +258,12 @@ def _with_runs(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 values, begin = runs(part.column("text"))
-                sets = [np.unique(values[begin[i] : begin[i + 1]]) for i in range(part.num_rows)]
+                sets = [distinct(values[begin[i] : begin[i + 1]]) for i in range(part.num_rows)]
                 same = [np.array([mix(s).sum(), mix(s ^ np.uint64(0x5BF03635)).sum()], np.uint64).tobytes() == x for s, x in zip(sets, part.column("set_id").to_pylist(), strict=True)]
                 out = pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array([s.tobytes() for s in sets], pa.binary())], [*[f.name for f in kept], "runs"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
-    return rows.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "runs binary"]))
+    return stream(rows, run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "runs binary"]))
 
 
 def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

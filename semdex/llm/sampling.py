@@ -16,9 +16,12 @@ def place(doc_id: str, salt: str) -> Column:
 def up_to(rows: DataFrame, group: str, most: int, salt: str, doc_id: str = "doc_id") -> DataFrame:
     """About ``most`` rows of each group, or all of a smaller one: those of the lowest places.
 
+    Rows without an id have no place and aren't chosen.
+
     ``rows`` should be slim: it is read twice. The groups' counts go to the driver, so there should
     be few groups (languages, labels).
     """
+    rows = rows.filter(F.col(doc_id).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(group).agg(F.count(F.lit(1))).collect()}
     chosen = F.lit(False)
     for value, n in counts.items():
