@@ -128,6 +128,37 @@ def test_local_search_empties_bins():
     assert sum(sum(b) ** 2 * n for b, n in found.items()) > sum(sum(b) ** 2 * n for b, n in bins.items())
 
 
+def test_packing_comes_from_the_search():
+    """From next fit, each step raises the sum of squared fills; bins run empty until few are above the least number."""
+    rng = random.Random(2)
+    counts = Counter(max(1, min(1023, int(rng.lognormvariate(5.8, 0.9)))) for _ in range(3000))
+    start = packing.next_fit(counts, 1024)
+    pieces = lambda bins: Counter({k: v for k, v in Counter(x for b, n in bins.items() for x in b for _ in range(n)).items()})
+    squared = lambda bins: sum(sum(b) ** 2 * n for b, n in bins.items())
+    assert pieces(start) == counts and all(sum(b) <= 1024 for b in start)
+    search = packing.Search(start, 1024)
+    bins, fill = start, squared(start)
+    while (now := squared(after := search.run(1))) != fill:
+        assert now > fill
+        bins, fill = after, now
+    least = -(-sum(k * v for k, v in counts.items()) // 1024)
+    assert sum(start.values()) > 1.03 * least and sum(bins.values()) <= 1.01 * least
+    assert pieces(bins) == counts and bins == packing.packed(counts)
+
+
+@pytest.mark.parametrize("times", [7, 1000, 10**6 + 3])
+def test_packing_in_equal_parts_loses_little(times):
+    rng = random.Random(4)
+    counts = {k: v * times + k % 5 for k, v in Counter(max(1, min(1024, int(rng.lognormvariate(5.8, 0.9)))) for _ in range(6000)).items()}
+    bins = packing.packed(counts)
+    total = Counter()
+    for b, n in bins.items():
+        for x in b:
+            total[x] += n
+    assert total == Counter(counts) and all(sum(b) <= 1024 for b in bins)
+    assert sum(bins.values()) <= 1.01 * sum(k * v for k, v in counts.items()) / 1024 + 1
+
+
 def test_plan_scales_with_lengths_not_pieces():
     counts = {n: 10**9 + n for n in range(1, 1025)}
     rows = packing.plan(counts)
