@@ -1,16 +1,20 @@
-"""URL filter: stated rules first, then a tree of path templates for each host.
+"""URL filter: stated rules first, then trees of path templates.
 
 Segments of a path that look variable (digits, escapes, long) become wildcards, and so do rare ones.
-Level by level, siblings whose shares of rejected pages don't differ significantly are merged. A
-template's share of rejected pages is smoothed toward its parent's, down from the host's and the
-whole table's, and a template is rejected where the smoothed purity, one minus that share, is at
-most ``least_purity``.
+Level by level, as deep as paths go, siblings whose shares of allowed and blocked pages differ alike
+from their parent's are merged. Such a tree is grown for each host, and for the hosts that share the
+last two labels, the last label, and for all hosts. The only labels are the rules' own verdicts.
 
-Labels are those the rules give (allow: good, block: bad); elsewhere a host with a word of a public
-kind of block list is bad; all other pages count as good to the extent ``unlabelled_weight``.
+A template's share of blocked pages is smoothed in this order: the table's share of blocked pages;
+the page's branches in the tree of all hosts, from its root to the leaf, where pages without a label
+count as good to the extent ``unlabelled_weight``; then its branches in each narrower tree, where only
+labels count. So what the rules say of ``/es/`` on some hosts is evidence on ``/es/`` of others, as far
+as these have none of their own. A template is rejected where the smoothed purity, one minus that
+share, is at most ``least_purity``.
 
 Everything is a Spark expression, a grouping or a join. Pages are grouped to distinct lexical
-templates before any other work, so a hot host arrives as few rows.
+templates before any other work, so a hot host arrives as few rows; branches are classes of a
+grouping, so the children of a template are never ordered or held together in a task.
 
 Defined results: a null url, or one without "://", has an empty host and path and meets no rule but
 is judged by the method like any other; repeated urls get the same verdict; an empty table gives an
@@ -22,15 +26,13 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 #: (verdict, host and path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Fixed words: kinds of hosts that public block lists hold.
-BLOCKED_WORDS = ("adult", "porn", "xxx", "casino", "poker", "bets", "betting", "gambling", "spam", "warez")
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -60,63 +62,93 @@ def lexical(segment: Column, longest: int = 24) -> Column:
     return F.when(variable, F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z]{1,5}$", 0))).otherwise(segment)
 
 
-def template_verdicts(leaves: DataFrame, depth: int, least_support: int, z: float, strength: float, unlabelled_weight: float, least_purity: float) -> DataFrame:
-    """From (host, segments, n, good, bad) of lexical templates: (host, segments, template, purity, rejected)."""
-    rows = leaves.withColumn("template", F.substring("host", 1, 0))  # empty
-    share = lambda bad, good, n, of: (bad + strength * of) / (bad + good + unlabelled_weight * (n - bad - good) + strength)
-    sums = [F.sum(x).alias(f"_{x}") for x in ("n", "good", "bad")]
-    n, good, bad = (x or 0 for x in leaves.agg(*sums).first())
-    whole = (bad + 1) / (bad + good + unlabelled_weight * (n - bad - good) + 2)
-    hosts = leaves.groupBy("host").agg(*sums)
-    rows = rows.join(hosts, "host").withColumn("share", share(F.col("_bad"), F.col("_good"), F.col("_n"), F.lit(whole))).drop("_n", "_good", "_bad")
-    for level in range(depth):
-        segment = F.get("segments", level)
-        rows = rows.withColumn("_segment", segment)
-        kids = rows.filter(F.col("_segment").isNotNull()).groupBy("host", "template", "_segment").agg(*sums)
-        # rare siblings are one branch; the others, in order of their share of bad pages, are cut where neighbours differ
-        supported = kids.filter(F.col("_n") >= least_support)
-        in_order = Window.partitionBy("host", "template").orderBy("_rate", "_segment")
-        pooled = (F.col("_bad") + F.col("_b0")) / (F.col("_n") + F.col("_n0"))
-        differs = F.abs(F.col("_rate") - F.col("_b0") / F.col("_n0")) > z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("_n") + 1 / F.col("_n0")))
-        merged = (
-            supported.withColumn("_rate", F.col("_bad") / F.col("_n"))
-            .withColumns({"_n0": F.lag("_n").over(in_order), "_b0": F.lag("_bad").over(in_order)})
-            .withColumn("_new", F.coalesce(differs, F.lit(True)).cast("int"))
-            .withColumn("_branch", F.sum("_new").over(in_order))
-            .select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_segment").alias("_s"), "_branch")
+_KEY = ("scope", "name", "template")
+
+
+def _scoped(leaves: DataFrame) -> DataFrame:
+    """Each leaf once for each of its scopes: all hosts, the host's last label, its last two, the host."""
+    names = [F.lit(""), F.substring_index("host", ".", -1), F.substring_index("host", ".", -2), F.col("host")]
+    scopes = F.array(*[F.struct(F.lit(i).alias("scope"), n.alias("name")) for i, n in enumerate(names)])
+    return leaves.withColumn("_scope", F.explode(scopes)).select("_scope.*", "*").drop("_scope")
+
+
+def _grown(leaves: DataFrame, least_support: int, z: float) -> DataFrame:
+    """From (host, segments, n, good, bad): (scope, name, segments, template, path) of every scope's tree.
+
+    ``path`` has the counts of the branches from the root's on. A level at a time, each open branch
+    is split by the next segment: wildcards and rare segments are one branch; the others are merged
+    where they differ alike from the whole in their shares of bad and of good pages, or don't differ.
+    A branch stays open while it has the support for two and its pages aren't labelled alike.
+    """
+    sums = [F.sum(x).alias(x) for x in ("n", "good", "bad")]
+    rows = _scoped(leaves).groupBy("scope", "name", "segments").agg(*sums)
+    empty = F.array().cast("array<struct<n:bigint,good:bigint,bad:bigint>>")
+    rows = materialize(rows.withColumns({"template": F.lit(""), "path": empty, "open": F.lit(True)}), "templates")
+    level = 0
+    while not (active := rows.filter(F.col("open") & (F.size("segments") > level))).isEmpty():
+        kids = active.groupBy(*_KEY, F.get("segments", level).alias("segment")).agg(*sums)
+        kids = materialize(kids, "templates")  # read three times, and joined by keys that may be hot
+        whole = kids.groupBy(*_KEY).agg(*[F.sum(x).alias(f"_{x}") for x in ("n", "good", "bad")])
+        kids = kids.join(whole, list(_KEY))
+
+        def differs(x: str) -> Column:
+            rate = F.col(f"_{x}") / F.col("_n")
+            more = F.col(x) / F.col("n") - rate
+            return F.when(F.abs(more) > z * F.sqrt(rate * (1 - rate) / F.col("n")), F.signum(more)).otherwise(0.0)
+
+        loose = (F.col("n") < least_support) | (F.col("segment") == "*")
+        kids = kids.withColumn("_branch", F.when(loose, F.lit("*")).otherwise(F.concat_ws(" ", differs("bad"), differs("good")))).drop("_n", "_good", "_bad")
+        branches = kids.groupBy(*_KEY, "_branch").agg(F.count(F.lit(1)).alias("_members"), F.min("segment").alias("_least"), F.struct(*sums).alias("_counts"))
+        label = F.when(F.col("_branch") == "*", F.lit("/*")).when(F.col("_members") == 1, F.concat(F.lit("/"), "_least")).otherwise(F.concat(F.lit("/{"), "_least", F.lit("~}")))
+        alike = (F.col("_counts.bad") == F.col("_counts.n")) | (F.col("_counts.good") == F.col("_counts.n")) | (F.col("_counts.bad") + F.col("_counts.good") == 0)
+        branches = branches.select(*_KEY, "_branch", label.alias("_label"), "_counts", (~alike & (F.col("_counts.n") >= 2 * least_support)).alias("_on"))
+        step = materialize(kids.select(*_KEY, "segment", "_branch").join(branches, [*_KEY, "_branch"]).select(*[F.col(k).alias(f"_{k}") for k in _KEY], F.col("segment").alias("_segment"), "_label", "_counts", "_on"), "templates")
+        same = F.get("segments", level) == F.col("_segment")
+        for k in _KEY:
+            same &= F.col(k) == F.col(f"_{k}")
+        more = F.size("segments") - (level + 1)
+        rest = F.when(F.col("_on") | (more == 0), F.lit("")).when(more == 1, F.lit("/*")).otherwise(F.lit("/**"))
+        grown = active.join(step, same).select(
+            "scope", "name", "segments", "n", "good", "bad", F.concat("template", "_label", rest).alias("template"), F.concat("path", F.array("_counts")).alias("path"), F.col("_on").alias("open")
         )
-        sole = merged.groupBy("_h", "_t", "_branch").agg(F.count(F.lit(1)).alias("_members"), F.min("_s").alias("_name"))
-        merged = merged.join(sole, ["_h", "_t", "_branch"])
-        branch = F.when(F.col("_segment").isNull(), F.lit("")).when(F.col("_members") == 1, F.concat(F.lit("/"), F.col("_segment"))).when(F.col("_members") > 1, F.concat(F.lit("/{"), F.col("_name"), F.lit("~}"))).otherwise(F.lit("/*"))
-        rows = rows.join(merged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_segment") == F.col("_s")), "left")
-        rows = rows.withColumn("template", F.concat("template", branch)).select("host", "segments", "n", "good", "bad", "share", "template")
-        below = rows.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(*sums)
-        rows = rows.join(below, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
-        rows = rows.withColumn("share", F.when(F.size("segments") > level, share(F.col("_bad"), F.col("_good"), F.col("_n"), F.col("share"))).otherwise(F.col("share"))).select("host", "segments", "n", "good", "bad", "share", "template")
-        rows = materialize(rows, "templates")  # each level reads the one before three times
-    purity = 1 - F.col("share")
-    return rows.select("host", "segments", "template", purity.alias("purity"), (purity <= least_purity).alias("rejected"))
+        done = rows.filter(~(F.col("open") & (F.size("segments") > level)))
+        rows = materialize(done.unionByName(grown), "templates")
+        level += 1
+    return rows.select("scope", "name", "segments", "template", "path")
+
+
+def template_verdicts(leaves: DataFrame, least_support: int, z: float, strength: float, unlabelled_weight: float, least_purity: float) -> DataFrame:
+    """From (host, segments, n, good, bad) of lexical templates: (host, segments, template, purity, rejected)."""
+    n, bad = (x or 0 for x in leaves.agg(F.sum("n"), F.sum("bad")).first())
+    found = _grown(leaves, least_support, z).select(*[F.col(c).alias(f"_{c}") for c in ("scope", "name", "segments")], "template", "path")
+    rows = _scoped(leaves.select("host", "segments"))
+    rows = rows.join(found, (F.col("scope") == F.col("_scope")) & (F.col("name") == F.col("_name")) & (F.col("segments") == F.col("_segments")))
+    rows = rows.groupBy("host", "segments").agg(F.sort_array(F.collect_list(F.struct("scope", "path", "template"))).alias("scopes"))  # four of each
+
+    def smoothed(share: Column, node: Column, weight: float) -> Column:
+        labelled = node["bad"] + node["good"]
+        return (node["bad"] + strength * share) / (labelled + weight * (node["n"] - labelled) + strength)
+
+    share = F.lit((bad + 1) / (n + 2))
+    share = F.aggregate(F.get("scopes", 0)["path"], share, lambda s, x: smoothed(s, x, unlabelled_weight))
+    narrower = F.flatten(F.transform(F.slice("scopes", 2, 3), lambda s: s["path"]))
+    share = F.aggregate(narrower, share, lambda s, x: smoothed(s, x, 0.0))
+    rows = rows.select("host", "segments", F.get("scopes", 3)["template"].alias("template"), (1 - share).alias("purity"))
+    return rows.withColumn("rejected", F.col("purity") <= least_purity)
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, blocked_words: Sequence[str] = BLOCKED_WORDS,
-    depth: int = 3, least_support: int = 3, z: float = 1.96, strength: float = 2.0, unlabelled_weight: float = 0.25, least_purity: float = 0.5,
+    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_support: int = 3, z: float = 1.96, strength: float = 2.0, unlabelled_weight: float = 0.25, least_purity: float = 0.5,
 ) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, template, purity.
-
-    A path's segments after the first ``depth`` are one wildcard.
-    """
+    """One row per page: page_id, host, path, rule, verdict, template, purity."""
     host, path = parse(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    listed = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*[F.lit(w) for w in blocked_words]))
-    parts = F.slice(F.split("path", "/"), 2, 1 << 30)
-    parts = F.transform(F.slice(parts, 1, depth), lambda x: lexical(x))
-    parts = F.when(F.size(F.split("path", "/")) - 1 > depth, F.concat(parts, F.array(F.lit("**")))).otherwise(parts)
+    parts = F.transform(F.slice(F.split("path", "/"), 2, 1 << 30), lambda x: lexical(x))
     rows = rows.withColumns({"rule": name, "_by_rule": verdict, "segments": parts})
-    rows = rows.withColumn("_bad", F.when(F.col("_by_rule").isNotNull(), F.col("_by_rule") == "block").when(listed, F.lit(True)))
-    leaves = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_bad")).alias("good"), F.count_if("_bad").alias("bad"))
-    found = template_verdicts(materialize(leaves, "templates"), depth + 1, least_support, z, strength, unlabelled_weight, least_purity)
+    of = lambda kind: F.count_if(F.coalesce(F.col("_by_rule") == kind, F.lit(False)))
+    leaves = materialize(rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), of("allow").alias("good"), of("block").alias("bad")), "templates")
+    found = materialize(template_verdicts(leaves, least_support, z, strength, unlabelled_weight, least_purity), "templates")
     out = rows.join(found, ["host", "segments"])
     verdict = F.coalesce(F.col("_by_rule"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -1,5 +1,7 @@
+import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -81,15 +83,99 @@ def test_urls_and_rules(spark):
 
 def test_templates_learn_from_labels(spark):
     clean = [f"http://site.org/{lang}/{i}" for lang in ("en", "de") for i in range(30)]
-    bad = [f"http://www.casino-win.org/{lang}/{i}.html" for lang in ("en", "de") for i in range(30)]
     mixed = [f"http://two.net/{lang}/{i}" for lang in ("es", "fr", "en", "de") for i in range(30)]
-    got = {r["page_id"]: r for r in urls.judge(pages(spark, clean + bad + mixed)).collect()}
-    of = lambda rows, at: {got[at + i]["verdict"] for i in range(len(rows))}
-    assert of(clean, 0) == {"allow"}
-    assert of(bad, 60) == {"block"}
-    assert {got[120 + i]["verdict"] for i in range(60)} == {"block"}
-    assert {got[180 + i]["verdict"] for i in range(60)} == {"allow"}  # their siblings' labels differ significantly
-    assert got[180]["template"] == "/{de~}/*" and got[120]["template"] == "/{es~}/*"
+    other = [f"http://site.org/{lang}/{i}" for lang in ("es", "fr") for i in range(30)]
+    got = {r["page_id"]: r for r in urls.judge(pages(spark, clean + mixed + other)).collect()}
+    assert {got[i]["verdict"] for i in range(60)} == {"allow"}
+    assert {got[60 + i]["verdict"] for i in range(60)} == {"block"}
+    assert {got[120 + i]["verdict"] for i in range(60)} == {"allow"}  # their siblings' labels differ significantly
+    assert got[120]["template"] == "/{de~}/*" and got[60]["template"] == "/{es~}/*"
+    assert {got[180 + i]["verdict"] for i in range(60)} == {"block"}  # no label on that host, but the template has a bad name
+
+
+def test_trees_are_as_deep_as_paths(spark):
+    """The label depends on the sixth segment."""
+    rows = [f"http://h{i % 5}.{'net' if kind == 'ads' else 'com'}/es/b/c/d/e/{kind}/{i}" for kind in ("ads", "news") for i in range(200)]
+    rows += [f"http://else.org/es/b/c/d/e/{kind}/{i}" for kind in ("ads", "news") for i in range(50)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, rows)).collect()}
+    assert {got[400 + i] for i in range(50)} == {"block"} and {got[450 + i] for i in range(50)} == {"allow"}
+
+
+def slow_purities(leaves, least=3, z=1.96, strength=2.0, weight=0.25):
+    """Templates and purities by recursion over every scope's tree; leaves: {(host, segments): (n, good, bad)}."""
+    total = lambda rows: tuple(sum(c[i] for _, c in rows) for i in range(3))
+
+    def grow(rows, level, template, path, out):
+        for segments, _ in rows:
+            if len(segments) == level:
+                out[segments] = template, path
+        rows = [r for r in rows if len(r[0]) > level]
+        if not rows:
+            return
+        whole, kids = total(rows), defaultdict(list)
+        for r in rows:
+            kids[r[0][level]].append(r)
+        branches = defaultdict(dict)
+        for name, own in kids.items():
+            n, *shares = total(own)
+
+            def differs(x, y, n=n):
+                rate = y / whole[0]
+                return math.copysign(1, x / n - rate) if abs(x / n - rate) > z * math.sqrt(rate * (1 - rate) / n) else 0
+
+            kind = "*" if n < least or name == "*" else tuple(differs(x, y) for x, y in zip(shares, whole[1:], strict=True))
+            branches[kind][name] = own
+        for kind, members in branches.items():
+            own = [r for m in members.values() for r in m]
+            n, good, bad = total(own)
+            label = "/*" if kind == "*" else f"/{min(members)}" if len(members) == 1 else f"/{{{min(members)}~}}"
+            if n >= 2 * least and not (bad == n or good == n or good + bad == 0):
+                grow(own, level + 1, template + label, path + [(n, good, bad)], out)
+            else:
+                for segments, _ in own:
+                    more = len(segments) - level - 1
+                    out[segments] = template + label + ("" if more == 0 else "/*" if more == 1 else "/**"), path + [(n, good, bad)]
+
+    scopes = []
+    for scope in (lambda h: "", lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h):
+        names = defaultdict(lambda: defaultdict(lambda: (0, 0, 0)))
+        for (host, segments), c in leaves.items():
+            names[scope(host)][segments] = tuple(map(sum, zip(names[scope(host)][segments], c, strict=True)))
+        found = {}
+        for name, rows in names.items():
+            grow(list(rows.items()), 0, "", [], found.setdefault(name, {}))
+        scopes.append((scope, found))
+    n, _, bad = total(list(leaves.items()))
+    out = {}
+    for host, segments in leaves:
+        share = (bad + 1) / (n + 2)
+        for i, (scope, found) in enumerate(scopes):
+            template, path = found[scope(host)][segments]
+            for m, g, b in path:
+                share = (b + strength * share) / (b + g + (weight * (m - b - g) if i == 0 else 0) + strength)
+        out[host, segments] = template, 1 - share
+    return out
+
+
+def test_trees_equal_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["a.com", "b.a.com", "example.com", "www.example.com", "two.net", "x.two.net", "three.net", "site.org", "org", ""]
+    rows = [f"http://{rng.choice(hosts)}" + "".join(f"/{rng.choice(['es', 'fr', 'en', 'de', 'a', 'b', 'c9', '77', 'x.html', 'r' + str(rng.randint(0, 60))])}" for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 6]))) for _ in range(1500)]
+    rows += [None, "", "no scheme", rows[0], rows[0], "http://long.net/" + "s/" * 60, "http://two.net/" + "x" * 70000]
+    got = urls.judge(pages(spark, rows)).collect()
+    lexical = lambda s: s if not re.search("[0-9%]", s) and len(s) <= 24 else "*" + (re.search(r"\.[A-Za-z]{1,5}$", s) or [""])[0]
+    leaves, of = defaultdict(lambda: (0, 0, 0)), {}
+    for i, url in enumerate(rows):
+        host, path = place(url)
+        kind, _ = rule(host, path)
+        of[i] = host, tuple(lexical(s) for s in path.split("/")[1:])
+        leaves[of[i]] = tuple(map(sum, zip(leaves[of[i]], (1, kind == "allow", kind == "block"), strict=True)))
+    want = slow_purities(dict(leaves))
+    assert len(got) == len(rows)
+    for r in got:
+        template, purity = want[of[r["page_id"]]]
+        assert r["template"] == template and math.isclose(r["purity"], purity, abs_tol=1e-9), rows[r["page_id"]]
+        assert r["rule"] is not None or r["verdict"] == ("block" if purity <= 0.5 else "allow")
 
 
 def test_wildcards(spark):
