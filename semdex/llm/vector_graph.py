@@ -9,15 +9,18 @@ from the vector itself, along the graph for as long as what is met lies within a
 Pairs met are verified in double precision. An audit compares a sample of vectors with all others
 exactly, and grows until it meets enough groups of linked vectors. Recall is averaged over vectors
 that have links, each by one over its group's size, so that groups count alike; if it is too low, or
-a sample met no link at all, the search is repeated with more overlap.
+a sample met no link at all, the search is repeated with more overlap. A recall that stays below 0.9
+is an error.
 
 A cluster above ``PART`` vectors is dealt out as pairs of parts, so tasks are bounded and no pair is
-left out. A pair that shares two clusters counts in the first. Equal vectors of a label are one.
+left out. A pair that shares two clusters counts in the first. Equal vectors of a label are one, under
+a number of its own.
 
 Defined results: a vector that is null, zero, or holds a null or a non-finite component, or has no
 label, links with nothing, nor do vectors of different lengths; rows with a null id are passed on
-with a null component; equal rows link with each other; an empty table gives an empty result; columns
-other than vec_id, embedding and label are not read.
+with a null component; equal rows link with each other; rows that repeat an id with another vector are
+vectors of their own, linked by their cosines only; pairs at the threshold link; an empty table gives
+an empty result; columns other than vec_id, embedding and label are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import distinct, materialize, stream
 from .graph import components
 from .groups import complete_groups
 from .ngram_join import _blocks, _roots
@@ -37,11 +40,11 @@ from .sampling import place
 
 COSINE = 0.98
 DEGREE, BEAM, OVERLAP = 24, 32, 2
-#: Vectors of a cluster, about, and of a part of a large one.
-CLUSTER, PART = 1000, 1024
+#: Vectors of a cluster, about, before overlap, and of a part of a large one: twice what a common cluster holds.
+CLUSTER, PART = 600, 2400
 #: Centroids in all, and vectors of the sample for each.
 MOST_CENTROIDS, SAMPLE_EACH = 4096, 24
-AUDITED, LEAST_RECALL = 256, 0.97
+AUDITED, LEAST_RECALL, FAILED_RECALL = 256, 0.97, 0.9
 #: Audited vectors at most; linked groups, about, that the audit should meet; overlap at most if it meets none.
 MOST_AUDITED, LEAST_GROUPS, BLIND_OVERLAP = 8192, 64, 8
 
@@ -126,8 +129,8 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, block: int = 25
     return links
 
 
-def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEAM, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) met by range-expanding greedy search of every vector, at or above ``cosine``.
+def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEAM, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) met by range-expanding greedy search of every vector, at or above ``cosine``, some at a time.
 
     The expansion follows links both ways: in a dense group all vectors link to its middle, and only
     from there back to each other.
@@ -135,13 +138,13 @@ def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEA
     n = len(x)
     frm, to = np.repeat(np.arange(n), links.shape[1]), links[:n].ravel()
     frm, to = frm[to < n], to[to < n]
-    both = np.unique(np.concatenate([frm * n + to, to * n + frm]))
+    both = distinct(np.concatenate([frm * n + to, to * n + frm]))
     degree = np.bincount(both // n, minlength=n)
     first, to = np.cumsum(degree) - degree, both % n
     y = x.astype(np.float32)
     start = int((y @ y.mean(0)).argmax())
     widened = 1 - 1.5 * (1 - cosine)
-    found = []
+    met = np.zeros((n, n), bool)
     for at in range(0, n, block):
         q = np.arange(at, min(n, at + block))
         ids, sims = greedy(y, links, y[q], start, beam)
@@ -150,7 +153,7 @@ def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEA
         seen[:, n] = True
         of, node = np.concatenate([np.repeat(np.arange(len(q)), hit.sum(1)), np.arange(len(q))]), np.concatenate([ids[hit], q])
         while len(of):
-            key = np.unique(of * (n + 1) + node)
+            key = distinct(of * (n + 1) + node)
             key = key[~seen.ravel()[key]]
             of, node = key // (n + 1), key % (n + 1)
             seen[of, node] = True
@@ -160,17 +163,18 @@ def range_pairs(x: np.ndarray, links: np.ndarray, cosine: float, beam: int = BEA
             within = s >= widened
             of, node, s = of[within], node[within], s[within]
             near = s >= cosine - 1e-5
-            found.append(np.stack([q[of[near]], node[near]]))
+            met[q[of[near]], node[near]] = True
             d = degree[node]
             node = to[np.arange(d.sum()) + np.repeat(first[node] - np.cumsum(d) + d, d)]
             of = np.repeat(of, d)
-    a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-    key = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-    a, b = key // n, key % n
-    ok = np.zeros(len(a), bool)
-    for i in range(0, len(a), 65536):
-        ok[i : i + 65536] = np.einsum("pd,pd->p", x[a[i : i + 65536]], x[b[i : i + 65536]]) >= cosine
-    return a[ok & (a != b)], b[ok & (a != b)]
+    met |= met.T
+    for at in range(0, n, block):
+        a, b = np.nonzero(met[at : at + block])
+        a, b = a[b > a + at] + at, b[b > a + at]
+        for i in range(0, len(a), 65536):
+            ok = np.einsum("pd,pd->p", x[a[i : i + 65536]], x[b[i : i + 65536]]) >= cosine
+            if ok.any():
+                yield a[i : i + 65536][ok], b[i : i + 65536][ok]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -234,7 +238,7 @@ def _clusters(vectors: DataFrame, centroids: dict[tuple[int, int], np.ndarray],
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "clusters"])
 
     schema = "rep long, embedding array<float>, label int, width int, copies long, clusters array<int>"
-    return vectors.select("rep", "embedding", "label", "width", "copies").mapInArrow(run, schema)
+    return stream(vectors.select("rep", "embedding", "label", "width", "copies"), run, schema)
 
 
 def _first_common(clusters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,7 +263,7 @@ def _graphs(tasks: DataFrame) -> DataFrame:
                 near = [ids[v[v < len(ids)]] for v in links[:-1]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near, pa.list_(pa.int64()))], ["rep", "near"])
 
-    return tasks.select("task", "rep", "embedding").repartition("task").sortWithinPartitions("task", "rep").mapInArrow(run, "rep long, near array<long>")
+    return stream(tasks.select("task", "rep", "embedding").repartition("task").sortWithinPartitions("task", "rep"), run, "rep long, near array<long>")
 
 
 def _searched(tasks: DataFrame, cosine: float) -> DataFrame:
@@ -277,16 +281,15 @@ def _searched(tasks: DataFrame, cosine: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(ids, v), n - 1)
                     lists.append(at[ids[at] == v])
                 x = _matrix(table.column("embedding").slice(s, n))
-                a, b = range_pairs(x, _padded(lists, n, max(len(v) for v in lists)), cosine)
-                own = np.isin(side[s:e][a] + side[s:e][b], (1, 4))
-                a, b = a[own], b[own]
-                first = _first_common(np.array(clusters[s:e], np.int64), a, b) == cluster[s]
-                a, b = a[first], b[first]
-                w = copies[s:e].astype(np.float64)
-                links = np.bincount(a, w[b], n) + np.bincount(b, w[a], n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(ids[_roots(n, a, b)])], ["rep", "links", "root"])
+                of, w, links, root = np.array(clusters[s:e], np.int64), copies[s:e].astype(np.float64), np.zeros(n), np.arange(n)
+                for a, b in range_pairs(x, _padded(lists, n, max(len(v) for v in lists)), cosine):
+                    own = np.isin(side[s:e][a] + side[s:e][b], (1, 4)) & (_first_common(of, a, b) == cluster[s])
+                    a, b = a[own], b[own]
+                    links += np.bincount(a, w[b], n) + np.bincount(b, w[a], n)
+                    root = _roots(n, np.concatenate([a, np.arange(n)]), np.concatenate([b, root]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(ids[root])], ["rep", "links", "root"])
 
-    return tasks.select("task", "rep", "embedding", "copies", "side", "cluster", "clusters", "near").repartition("task").sortWithinPartitions("task", "rep").mapInArrow(run, "rep long, links long, root long")
+    return stream(tasks.select("task", "rep", "embedding", "copies", "side", "cluster", "clusters", "near").repartition("task").sortWithinPartitions("task", "rep"), run, "rep long, links long, root long")
 
 
 def _exact_links(vectors: DataFrame, cosine: float, audited: int) -> tuple[DataFrame, int]:
@@ -309,7 +312,7 @@ def _exact_links(vectors: DataFrame, cosine: float, audited: int) -> tuple[DataF
                         near = (q[at : at + 256] @ x.T >= cosine) & (ids[at : at + 256, None] != rep[rows])
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256]), pa.array((near * copies[rows]).sum(1).astype(np.int64))], ["rep", "exact"])
 
-    return vectors.select("rep", "label", "width", "embedding", "copies").mapInArrow(run, "rep long, exact long").groupBy("rep").agg(F.sum("exact").alias("exact")), queries.num_rows
+    return stream(vectors.select("rep", "label", "width", "embedding", "copies"), run, "rep long, exact long").groupBy("rep").agg(F.sum("exact").alias("exact")), queries.num_rows
 
 
 def _audit(vectors: DataFrame, cosine: float) -> tuple[DataFrame, bool]:
@@ -330,13 +333,18 @@ def _recall(exact: DataFrame, sums: DataFrame) -> float | None:
     return got[0] / got[1] if got[1] else None
 
 
+class RecallError(RuntimeError):
+    """The audit found too few of the links, with all the overlap there can be."""
+
+
 def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tuple[DataFrame, float]:
     """One row per vector (vec_id, n_links, component_id), and the audited recall of links."""
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     good &= F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
-    vectors = rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    vectors = materialize(vectors.withColumn("width", F.size("embedding")), "vectors")
+    vectors = rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # an id may stand for several vectors, a number for one
+    vectors = materialize(vectors.withColumns({"width": F.size("embedding"), "rep": F.monotonically_increasing_id()}), "vectors")
     exact, whole = _audit(vectors, cosine)
     while True:
         centroids = fit_centroids(vectors, overlap)
@@ -354,9 +362,15 @@ def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tu
         if recall >= LEAST_RECALL or overlap >= most:
             break
         overlap += 1
+    if FAILED_RECALL > recall and exact.filter("exact > 0").limit(1).count():
+        raise RecallError(f"the audit found {recall:.3f} of the links, with {overlap} clusters for each vector")
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
-    result = vectors.select("label", "embedding", "rep", "copies").join(sums, "rep", "left").join(groups, "rep", "left")
-    result = result.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
+    linked = vectors.select("label", "embedding", "rep", "least", "copies").join(sums, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    linked = materialize(linked, "linked")
+    names = linked.groupBy(F.col("component").alias("_component")).agg(F.min("least").alias("component_id"))
+    result = linked.join(names, F.col("component") == F.col("_component"))
+    result = result.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
+    result = materialize(result, "linked")  # so that a vector with many copies can be split when it is joined
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.when(good, F.col("embedding")).alias("embedding"))
     out = out.join(result, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")) & F.col("vec_id").isNotNull(), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), recall
