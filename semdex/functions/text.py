@@ -30,9 +30,14 @@ def normal_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+#: Characters that end a line, besides a line feed and what stands for it.
+LINE_ENDS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; an end-of-line at its very end begins none."""
-    parts = F.split(text, "\n")
+    plain = F.when(text.rlike(f"[\r{LINE_ENDS}]"), F.translate(normal_newlines(text), LINE_ENDS, "\n" * len(LINE_ENDS))).otherwise(text)
+    parts = F.split(plain, "\n")
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(whole)
 
@@ -42,15 +47,16 @@ def joined(rows: Column) -> Column:
     return F.trim(F.array_join(rows, "\n"), F.lit("\n"))
 
 
-def numbered(text: Column, first: Column) -> Column:
-    """Each line behind its number, as '  12 | line'."""
-    rows = F.split(text, "\n")
+def listed(rows: Column, first: Column) -> Column:
+    """An array's lines behind their numbers, as '  12 | line'."""
     return F.array_join(F.transform(rows, lambda x, i: F.concat(F.lpad((first + i).cast("string"), 4, " "), F.lit(" | "), x)), "\n")
 
 
+def numbered(text: Column, first: Column) -> Column:
+    """Each line of a text behind its number."""
+    return listed(F.split(text, "\n"), first)
+
+
 def compact(repo: Column, path: Column, line: Column, score: Column) -> Column:
     return F.format_string("%s:%s:%d  %.2f", repo, path, line, score)
 
-
-def block(repo: Column, path: Column, line: Column, score: Column, snippet: Column) -> Column:
-    return F.concat(F.format_string("%s:%s:%d  (score: %.2f)", repo, path, line, score), F.lit("\n"), numbered(snippet, line))

@@ -40,8 +40,3 @@ def score(distance: Column) -> Column:
     """1 for distance 0, falling to 0 at distance 2 and beyond."""
     return F.greatest(F.lit(0.0), 1 - F.greatest(distance, F.lit(0.0)) / 2)
 
-
-def same_width(a: Column, width: int) -> Column:
-    """The vector itself; an error at run time if its width differs."""
-    ok = F.assert_true(F.size(a) == width, F.lit(f"a vector's width isn't {width}"))
-    return F.when(ok.isNull(), a)

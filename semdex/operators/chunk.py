@@ -1,13 +1,12 @@
 """Splitting of files: line windows, syntax nodes, merging of small pieces, and the import block.
 
 Line windows, the merge and the import block are built-in expressions over arrays of lines. Syntax
-trees come from a parser that is plugged in; for Python files, the standard library's is at hand. A
-file whose parser is missing, fails or finds nothing is split by lines.
+nodes come from a parser that is plugged in, by default from installed grammars. A file whose parser
+is missing, fails or finds nothing is split by lines.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import joined, language, lines, normal_newlines
+from .syntax import syntax_nodes
 
 MOST_LINES, LEAST_LINES, OVERLAP = 80, 10, 0.5
 
@@ -35,23 +35,6 @@ IMPORTS = {
     "cpp": ("#include",),
     "c_sharp": ("using ", "namespace "),
 }
-#: Syntax nodes that make a chunk, by language.
-NODE_TYPES = {
-    "java": ("class_declaration", "method_declaration", "interface_declaration", "enum_declaration"),
-    "kotlin": ("class_declaration", "function_declaration", "object_declaration"),
-    "python": ("class_definition", "function_definition"),
-    "javascript": ("class_declaration", "function_declaration", "method_definition"),
-    "typescript": ("class_declaration", "function_declaration", "method_definition"),
-    "go": ("function_declaration", "method_declaration", "type_declaration"),
-    "rust": ("function_item", "impl_item", "struct_item", "enum_item"),
-    "c": ("function_definition", "struct_specifier"),
-    "cpp": ("function_definition", "class_specifier", "struct_specifier"),
-    "ruby": ("method", "class", "module"),
-    "php": ("class_declaration", "method_declaration", "function_definition"),
-    "scala": ("class_definition", "object_definition", "function_definition"),
-    "c_sharp": ("class_declaration", "method_declaration", "struct_declaration"),
-}
-
 SEGMENT = "struct<line_start:int,line_end:int,content:string>"
 
 #: From a file's source and language: (first line, last line) of its outermost nodes, from 1.
@@ -142,31 +125,6 @@ def with_imports(segments: Column, block: Column) -> Column:
     return F.when(block.isNull() | (F.size(segments) == 0), segments).when(block["line_end"] < first["line_start"], glued).otherwise(F.concat(F.array(block), segments))
 
 
-def python_nodes(source: str, lang: str) -> list[tuple[int, int]]:
-    """Outermost classes and functions of a Python file, decorators apart; none for other languages."""
-    if lang != "python":
-        return []
-    found: list[tuple[int, int]] = []
-    todo: list[ast.AST] = [ast.parse(source)]
-    while todo:
-        node = todo.pop()
-        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            found.append((node.lineno, node.end_lineno or node.lineno))
-        else:
-            todo.extend(ast.iter_child_nodes(node))
-    return sorted(found)
-
-
-def outermost(spans: list[tuple[str, int, int]], lang: str) -> list[tuple[int, int]]:
-    """Of (node type, first line, last line) of a tree, those that make a chunk and lie in no other such node."""
-    wanted = sorted(((s, -e) for kind, s, e in spans if kind in NODE_TYPES.get(lang, ())), key=lambda x: x)
-    out: list[tuple[int, int]] = []
-    for s, e in wanted:
-        if not out or s > out[-1][1]:
-            out.append((s, -e))
-    return out
-
-
 def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (file_path, content as bytes, ...) with text instead of bytes, and those that aren't UTF-8."""
     text = F.col("content").cast("string")
@@ -174,7 +132,7 @@ def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("_ok").withColumn("content", normal_newlines(text)).drop("_ok"), rows.filter("NOT _ok").drop("_ok", "content")
 
 
-def chunk_files(files: DataFrame, parser: Parser | None = python_nodes, most: int = MOST_LINES, least: int = LEAST_LINES, overlap: float = OVERLAP) -> DataFrame:
+def chunk_files(files: DataFrame, parser: Parser | None = syntax_nodes, most: int = MOST_LINES, least: int = LEAST_LINES, overlap: float = OVERLAP) -> DataFrame:
     """(the columns of ``files`` but content, line_start, line_end, content, lang); files: file_path, content, ..."""
     rows = files.withColumn("lang", language(F.col("file_path"))).withColumn("_lines", lines(F.col("content")))
     by_lines = windows(F.col("_lines"), most, overlap)

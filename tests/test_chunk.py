@@ -1,9 +1,13 @@
+from dataclasses import dataclass
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from semdex.functions import text as T
 from semdex.functions.globs import matches, to_regex
 from semdex.operators import chunk as C
+from semdex.operators import syntax as S
 
 
 def chunked(spark, path, content, **options):
@@ -81,9 +85,105 @@ def test_imports_before_or_in_the_first_piece(spark):
     assert [tuple(x) for x in put] == [(1, 6, "import"), (5, 20, "node")]
 
 
+@dataclass
+class Node:
+    """As much of a syntax tree's node as is read."""
+
+    type: str
+    first: int
+    last: int
+    children: tuple = ()
+
+    @property
+    def start_point(self):
+        return self.first - 1, 0
+
+    @property
+    def end_point(self):
+        return self.last - 1, 0
+
+
+class Trees:
+    """A parser that gives the same tree for any source."""
+
+    def __init__(self, *children):
+        self.root_node = Node("file", 1, 99, children)
+
+    def parse(self, source):
+        assert isinstance(source, bytes)
+        return self
+
+
+def by_tree(*children):
+    tree = Trees(*children)
+    return lambda source, lang: S.tree_nodes(source, lang, lambda _: tree)
+
+
 def test_outermost_nodes():
-    spans = [("class_declaration", 3, 20), ("method_declaration", 5, 8), ("method_declaration", 30, 31), ("comment", 1, 2)]
-    assert C.outermost(spans, "java") == [(3, 20), (30, 31)]
+    nodes = by_tree(Node("method_declaration", 30, 31), Node("comment", 1, 2), Node("box", 3, 25, (Node("class_declaration", 3, 20, (Node("method_declaration", 5, 8),)), Node("class_declaration", 20, 22))))
+    assert nodes("", "java") == [(3, 20), (20, 22), (30, 31)]
+    assert S.tree_nodes("", "java", lambda _: None) == []
+
+
+@pytest.mark.parametrize(
+    ("path", "head", "kind"),
+    [
+        ("A.java", ["package a;", "import b.C;"], "class_declaration"),
+        ("a.go", ["package a", "import (", '  "fmt"', ")"], "function_declaration"),
+        ("a.ts", ["import x from 'x'"], "function_declaration"),
+        ("a.rs", ["use std::fmt;", "mod b;"], "impl_item"),
+        ("a.rb", ["require 'set'"], "class"),
+        ("a.cs", ["using System;"], "class_declaration"),
+    ],
+)
+def test_syntax_chunks_of_other_languages(spark, path, head, kind):
+    body = [f"body {i}" for i in range(30)]
+    first = len(head) + 2
+    found = chunked(spark, path, "\n".join([*head, "", *body]), parser=by_tree(Node(kind, first, first + 11), Node(kind, first + 12, first + 29)))
+    assert [(a, b) for a, b, *_ in found] == [(1, first + 11), (first + 12, first + 29)]
+    assert found[0][2] == "\n".join([*head, *body[:12]]) and found[1][2] == "\n".join(body[12:])
+
+
+def test_large_and_small_nodes(spark):
+    text = "\n".join(f"l{i}" for i in range(1, 121))
+    parser = by_tree(Node("function_item", 1, 100), Node("struct_item", 101, 103), Node("struct_item", 104, 120))
+    assert [(a, b) for a, b, *_ in chunked(spark, "a.rs", text, parser=parser)] == [(1, 80), (41, 100), (101, 120)]
+
+
+def test_grammars_are_loaded_once(monkeypatch):
+    """Whichever way a grammar's package offers it."""
+    made, loads = [], []
+
+    class Parser:
+        def __init__(self, language=None):
+            if language is not None and old:
+                raise TypeError
+            self.language = language
+
+        def set_language(self, language):
+            self.language = language
+
+    library = SimpleNamespace(Language=lambda x: ("made", x), Parser=Parser)
+    modules = {"tree_sitter": library, "tree_sitter_go": SimpleNamespace(language=lambda: "go"), "tree_sitter_php": SimpleNamespace(language_php=lambda: "php"), "tree_sitter_ruby": SimpleNamespace(LANGUAGE="ruby"), "tree_sitter_scala": SimpleNamespace()}
+
+    def load(name):
+        loads.append(name)
+        if name not in modules:
+            raise ModuleNotFoundError(name)
+        return modules[name]
+
+    monkeypatch.setattr(S.importlib, "import_module", load)
+    for old in (False, True):
+        S.grammar.cache_clear()
+        made = [S.grammar(x) and S.grammar(x).language for x in ("go", "php", "ruby", "scala", "java", "text")]
+        assert made == [("made", "go"), ("made", "php"), "ruby", None, None, None]
+    assert loads.count("tree_sitter_go") == 2
+    S.grammar.cache_clear()
+
+
+def test_lines_end_where_text_says(spark):
+    text = "a\r\nb\rc\x0bd\x0ce\x1cf\x1dg\x1eh\x85i\u2028j\u2029k\n"
+    assert spark.createDataFrame([(text,)], "t string").select(T.lines(F.col("t"))).first()[0] == text.splitlines()
 
 
 def test_languages(spark):
