@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,16 +38,29 @@ def upsert(entries: DataFrame, key: str = "key", version: str = "version") -> Da
     return entries.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_last")).select(key, "_last.*")
 
 
+def running_sums(rows: DataFrame, keys: tuple[str, ...], value: str, out: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before, in order of unique ``keys``.
+
+    Rows are range-partitioned by the keys and summed up within their partition; one row for each
+    partition goes through a window of all. The ranges are kept while both are read.
+    """
+    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_s"))
+    parts = parts.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    summed = ranged.join(F.broadcast(parts), F.col("_part") == F.col("_p"))  # a row for each partition
+    return summed.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_part", "_p", "_before")
+
+
 def assign_ids(chunks: DataFrame, highest: int | Column, file: tuple[str, ...] = ("repo_id", "file_path"), order: tuple[str, ...] = ("line_start",)) -> DataFrame:
     """Add ids above ``highest``, in order of file and place in it.
 
-    Rows are numbered within their file; files get offsets from their counts, so only a row for each
-    file goes through one window.
+    Rows are numbered within their file; files get offsets from their counts.
     """
     within = Window.partitionBy(*file).orderBy(*order)
     counts = chunks.groupBy(*file).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*file).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = running_sums(counts, file, "_n", "_offset").drop("_n")
     top = F.lit(highest) if isinstance(highest, int) else highest
     rows = chunks.withColumn("_row", F.row_number().over(within)).join(offsets, list(file))
     return rows.withColumn("id", (top + F.col("_offset") + F.col("_row")).cast("long")).drop("_row", "_offset")

@@ -229,3 +229,18 @@ def embed_column(rows: DataFrame, provider: Provider, text: str = "content", out
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.list_(pa.float32()))], [*part.schema.names, out])
 
     return rows.mapInArrow(run, schema)
+
+
+def hashed_vectors(rows: DataFrame, key: str, text: str = "content") -> DataFrame:
+    """(key, embedding): the hashing provider's vectors of whole tables; ``key`` names a row."""
+    held = hashed_entries(rows, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("_v"))  # an entry for each bucket at most
+    at = lambda i: F.coalesce(F.try_element_at("_v", i.cast("int")), F.lit(0.0)).cast("float")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(HASH_WIDTH - 1)), at)
+    return rows.select(key).join(held, key, "left").select(key, vector.alias("embedding"))
+
+
+def embed_rows(rows: DataFrame, provider: Provider, key: str, text: str = "content") -> DataFrame:
+    """As ``embed_column``; what needs no model is worked out by expressions. ``key`` names a row."""
+    if type(provider) is HashingProvider:
+        return rows.join(hashed_vectors(rows, key, text), key).select(*rows.columns, "embedding")
+    return embed_column(rows, provider, text)

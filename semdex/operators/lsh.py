@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import dealt, groups, meeting
 
 
 class SimHash:
@@ -28,6 +30,14 @@ class SimHash:
         if self.planes.shape != (num_bands * band_width, dim):
             raise ValueError(f"planes are {self.planes.shape}, not {(num_bands * band_width, dim)}")
 
+    @classmethod
+    def for_rows(cls, rows: int, dim: int, threshold: float, most_missed: float = 0.01, seed: int = 42) -> SimHash:
+        """As many bits a band as the rows have, so that a bucket holds few of unlike vectors, and as many bands as it
+        takes to miss a pair at the threshold with a chance of ``most_missed`` at most; 64 at most."""
+        width = max(6, min(24, math.ceil(math.log2(max(2, rows)))))
+        agree = (1 - math.acos(threshold) / math.pi) ** width
+        return cls(max(1, min(64, math.ceil(math.log(most_missed) / math.log1p(-min(agree, 1 - 1e-12))))), width, dim, seed)
+
     def bits(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, np.float32)
         if x.size == 0:
@@ -84,6 +94,64 @@ def candidates(signed: DataFrame, id_column: str = "chunk_id") -> DataFrame:
     return pairs.filter(~earlier).select("id_a", "id_b")
 
 
+#: Vectors of a bucket that a task holds of one part, about.
+PART = 1024
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length in double precision; zero vectors stay."""
+    x = np.asarray(vectors.combine_chunks().flatten(), np.float64).reshape(len(vectors), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def similar(signed: DataFrame, vectors: DataFrame, threshold: float, id_column: str = "chunk_id") -> DataFrame:
+    """(id_a, id_b, similarity) of the pairs that share a band and whose cosine is at least ``threshold``.
+
+    A bucket's members meet in blocks, in numpy, so a vector is sent once for each bucket, not for each
+    pair, and pairs below the threshold are never rows. As in ``candidates``, a pair counts in the first
+    band that it shares. A zero vector has the cosine 0.
+    """
+    bucket = F.xxhash64("band", "hash")
+    rows = signed.select(F.col(id_column).alias("id"), "bands", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", bucket).drop("hash")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("bucket", "_bucket")
+    rows = rows.join(sizes, F.col("bucket") == F.col("_bucket")).join(vectors.select(F.col(id_column).alias("id"), "embedding"), "id")
+    tasks = dealt(rows, F.ceil(F.col("_n") / PART), "bucket", "id").select("task", "side", "id", "band", "bands", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in groups(batches, "task"):
+            if task.num_rows < 2:
+                continue
+            ids, side, band = (np.asarray(task.column(c)) for c in ("id", "side", "band"))
+            x = _unit(task.column("embedding"))
+            like = x @ x.T
+            met = meeting(side) & (like >= threshold)
+            hashes = np.array(task.column("bands").to_pylist(), object)[:, : band[0] + 1]
+            for i in range(band[0] + 1):  # two buckets of one hash aside, all agree in the last of these
+                same = np.unique(hashes[:, i].astype("S"), return_inverse=True)[1] if len(ids) else band
+                met &= (same[:, None] == same[None, :]) if i == band[0] else (same[:, None] != same[None, :])
+            a, b = np.nonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(like[a, b])], ["id_a", "id_b", "similarity"])
+
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "id_a long, id_b long, similarity double")
+
+
+def similar_exact(vectors: DataFrame, threshold: float, id_column: str = "chunk_id") -> DataFrame:
+    """As ``similar``, of all pairs: what signatures are measured against. The work grows with the square of the rows."""
+    everything = vectors.select(F.col(id_column).cast("long").alias("id"), "embedding").withColumn("_all", F.lit(0))
+    parts = max(1, -(-vectors.count() // PART))
+    tasks = dealt(everything, F.lit(parts), "_all", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in groups(batches, "task"):
+            ids, side = np.asarray(task.column("id")), np.asarray(task.column("side"))
+            x = _unit(task.column("embedding"))
+            like = x @ x.T
+            a, b = np.nonzero(meeting(side) & (like >= threshold))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(like[a, b])], ["id_a", "id_b", "similarity"])
+
+    return tasks.select("task", "side", "id", "embedding").repartition("task").sortWithinPartitions("task").mapInArrow(run, "id_a long, id_b long, similarity double")
+
+
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float, id_column: str = "chunk_id") -> DataFrame:
     """(id_a, id_b, similarity) of pairs whose cosine is at least ``threshold``; norms are worked out once a vector."""
     slim = vectors.select(F.col(id_column).alias("_id"), "embedding", V.norm(F.col("embedding")).alias("_norm"))

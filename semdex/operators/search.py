@@ -28,9 +28,18 @@ def _filter(repo: str | None, langs: Sequence[str] | None, path_glob: str | None
     return out
 
 
-def _results(rows: DataFrame, threshold: float, limit: int) -> DataFrame:
+#: Results that are broadcast to where their texts are; more are joined by a shuffle.
+BROADCAST_RESULTS = 10_000
+#: Queries that are broadcast to all rows.
+MOST_BROADCAST = 1_000
+
+
+def _results(rows: DataFrame, threshold: float, limit: int, texts: DataFrame | None = None) -> DataFrame:
+    order = [F.col("score").desc(), "repo", "file_path", "line_start", "id"]
     rows = rows.withColumn("score", vectors.score(F.col("_distance"))).filter(F.col("score") >= threshold)
-    rows = rows.orderBy(F.col("score").desc(), "repo", "file_path", "line_start", "id").limit(limit)
+    rows = rows.orderBy(*order).limit(limit)
+    if texts is not None:
+        rows = texts.join(F.broadcast(rows) if limit <= BROADCAST_RESULTS else rows, "id").orderBy(*order)
     return rows.select("repo", F.col("file_path").alias("path"), F.col("line_start").alias("line"), "score", F.col("content").alias("snippet"), F.coalesce("lang", F.lit("")).alias("lang"))
 
 
@@ -62,12 +71,31 @@ def search(
     return _results(rows.filter(wanted), threshold, limit)
 
 
+def search_stored(
+    places: DataFrame, embeddings: DataFrame, texts: DataFrame, query: Sequence[float], limit: int = 10, threshold: float = 0.0, repo: str | None = None,
+    langs: Sequence[str] | None = None, path_glob: str | None = None,
+) -> DataFrame:
+    """As ``search``, over places (id, repo, file_path, line_start, lang), embeddings (id, embedding) and texts (id, content).
+
+    Without filters, the nearest vectors are found before anything is joined; with filters, only what
+    passes them is. Texts are joined to the results alone.
+    """
+    wanted = _filter(repo, langs, path_glob)
+    distance = embeddings.select("id", vectors.l2(F.col("embedding"), vectors.literal(query)).alias("_distance"))
+    if wanted is not None:
+        return _results(places.filter(wanted).join(distance, "id"), threshold, max(0, limit), texts)
+    nearest = distance.orderBy(F.col("_distance").asc(), F.col("id").asc()).limit(max(0, limit))
+    return _results(places.join(F.broadcast(nearest) if limit <= BROADCAST_RESULTS else nearest, "id"), threshold, max(0, limit), texts)
+
+
 def search_many(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest chunks of each query (query_id, query): query_id, id, score, rank.
 
-    The queries are broadcast, so they should be a bounded batch; each task keeps k chunks for each
-    query before anything is shuffled.
+    The queries are broadcast, after a count; beyond ``MOST_BROADCAST`` of them, blocks are compared. Each
+    task keeps k chunks for each query before anything is shuffled.
     """
+    if queries.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        return search_blocks(chunks, queries, k)
     rows = chunks.select("id", "embedding").join(F.broadcast(queries.select("query_id", "query")), F.lit(True))
     rows = rows.select("query_id", "id", vectors.l2(F.col("embedding"), F.col("query")).alias("_distance"))
     order = Window.partitionBy("query_id").orderBy("_distance", "id")
@@ -109,7 +137,7 @@ def search_blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 else:
                     of, at = np.nonzero(np.ones(near.shape, bool))
                 distance = np.sqrt(((x[at] - q[of]) ** 2).sum(1))
-                order = np.lexsort((ids[at], distance, of))
+                order = np.lexsort((ids[at], distance.round(9), of))
                 of, at, distance = of[order], at[order], distance[order]
                 best = np.arange(len(of)) - np.searchsorted(of, of) < k
                 yield pa.RecordBatch.from_arrays([pa.array(asked[of[best]]), pa.array(ids[at[best]]), pa.array(distance[best])], ["query_id", "id", "_distance"])
@@ -117,5 +145,5 @@ def search_blocks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = _blocks(chunks.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")), ROW_BLOCK, "r")
     asked = _blocks(queries.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")), QUERY_BLOCK, "q")
     found = rows.crossJoin(asked).mapInArrow(run, "query_id long, id long, _distance double")
-    order = Window.partitionBy("query_id").orderBy("_distance", "id")
+    order = Window.partitionBy("query_id").orderBy(F.round("_distance", 9), "id")  # equal distances, whatever order they were summed up in
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", vectors.score(F.col("_distance")).alias("score"), "rank")

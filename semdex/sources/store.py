@@ -1,20 +1,22 @@
-"""The index's tables as versioned Parquet snapshots.
+"""The index as Parquet parts that are never changed, and a manifest that says which of them count.
 
-A version is a folder with one Parquet table each for repos, chunks, vectors and bands, and the meta
-entries. Writing makes a new folder and then moves one pointer file over the old, so readers see all
-of a change or nothing of it. Ids are never given twice: meta keeps the highest.
+The chunks, vectors and bands of a repository are a part each, so what is done to one repository
+neither reads nor writes the others. A change writes new parts and then puts one small manifest in
+the place of the old, so readers see all of a change or nothing of it. Parts stay until the second
+change after the one that replaced them: what a reader has planned on the manifest before still runs.
+Ids are never given twice: meta keeps the highest.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import os
-import shutil
 import uuid
 from pathlib import Path
+from typing import Any
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,67 +24,91 @@ from .. import schemas
 from ..errors import DimensionMismatchError, StoreError
 from ..operators.diff import indexed_files, repo_stats
 from ..operators.lsh import SimHash
+from .files import Folder
 
-_TABLES = {"repos": schemas.REPOS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "bands": schemas.BANDS}
-_FORMAT = "1"
+#: Tables that have a part for each repository.
+PARTED = {"chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "bands": schemas.BANDS}
+_MANIFEST, _FORMAT = "MANIFEST.json", "2"
 
 
 class Store:
     """An index in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, self.folder = spark, Path(folder).expanduser()
+        self.spark = spark
+        text = str(folder)
+        self._folder = Folder(spark, text if "://" in text else str(Path(text).expanduser()))
 
-    # --- versions ---------------------------------------------------------------------------
+    # --- parts and manifests ----------------------------------------------------------------
 
-    @property
-    def _pointer(self) -> Path:
-        return self.folder / "CURRENT"
-
-    def _version(self) -> Path | None:
+    def _manifest(self) -> dict[str, Any]:
+        empty = {"format": _FORMAT, "meta": {}, "repos": None, "parts": {}, "before": []}
         try:
-            return self.folder / self._pointer.read_text().strip()
-        except FileNotFoundError:
-            return None
-        except OSError as e:
+            text = self._folder.read(_MANIFEST)
+            found = empty if text is None else json.loads(text)
+            return {k: found[k] for k in empty}
+        except Exception as e:  # whatever a file system or a broken file fails with
             raise StoreError(f"the index can't be read: {e}") from e
 
-    def table(self, name: str) -> DataFrame:
-        at = self._version()
-        if at is None:
-            return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(str(at / name))
+    def _read(self, names: list[str], schema: Any) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        try:
+            return self.spark.read.schema(schema).parquet(*[f"{self._folder.uri}/{n}" for n in names])
+        except PySparkException as e:
+            raise StoreError(f"the index can't be read: {e}") from e
 
-    def commit(self, meta: dict[str, str] | None = None, **tables: DataFrame) -> None:
-        """Make a new version of the tables given; the others and the other meta entries stay."""
-        old, new = self._version(), self.folder / f"v-{uuid.uuid4().hex}"
-        new.mkdir(parents=True)
+    def table(self, name: str, repo_id: int | None = None) -> DataFrame:
+        """A table, or one repository's part of it."""
+        held = self._manifest()
+        if name == "repos":
+            return self._read([held["repos"]] if held["repos"] else [], schemas.REPOS)
+        parts = held["parts"].values() if repo_id is None else [held["parts"].get(str(repo_id), {})]
+        return self._read([p[name] for p in parts if name in p], PARTED[name])
+
+    def _written(self, name: str, df: DataFrame, schema: Any) -> str:
+        at = f"{name}-{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self._folder.uri}/{at}")
+        return at
+
+    def commit(self, meta: dict[str, str] | None = None, repos: DataFrame | None = None, parts: dict[int, dict[str, DataFrame]] | None = None, gone: tuple[int, ...] = ()) -> None:
+        """Put these meta entries, registry and parts in the place of the old; ``gone``: repositories without parts from now on."""
+        old = self._manifest()
+        held = {k: dict(v) for k, v in old["parts"].items()}
+        made: list[str] = []
         try:
-            for name, schema in _TABLES.items():
-                if name in tables:
-                    tables[name].select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(str(new / name))
-                elif old is not None:
-                    shutil.copytree(old / name, new / name, copy_function=os.link)
-                else:
-                    self.spark.createDataFrame([], schema).write.parquet(str(new / name))
-            (new / "meta.json").write_text(json.dumps({"format": _FORMAT} | self.all_meta() | (meta or {})))
-            temporary = self.folder / f".current-{uuid.uuid4().hex}"
-            temporary.write_text(new.name)
-            temporary.replace(self._pointer)
+            registry = old["repos"]
+            if repos is not None:
+                registry = self._written("repos", repos, schemas.REPOS)
+                made.append(registry)
+            for repo_id, tables in (parts or {}).items():
+                for name, df in tables.items():
+                    held.setdefault(str(repo_id), {})[name] = self._written(name, df, PARTED[name])
+                    made.append(held[str(repo_id)][name])
+            for repo_id in gone:
+                held.pop(str(repo_id), None)
+            new = {"format": _FORMAT, "meta": old["meta"] | (meta or {}), "repos": registry, "parts": held, "before": sorted(self._named(old))}
+            self._folder.write(_MANIFEST, json.dumps(new))
         except BaseException:
-            shutil.rmtree(new, ignore_errors=True)
+            for name in made:
+                self._folder.remove(name)
             raise
-        if old is not None:
-            shutil.rmtree(old, ignore_errors=True)
+        used = self._named(new) | set(new["before"]) | {_MANIFEST}
+        for name in self._folder.names():
+            if name not in used and not name.startswith("."):
+                self._folder.remove(name)
+
+    @staticmethod
+    def _named(manifest: dict[str, Any]) -> set[str]:
+        return {n for p in manifest["parts"].values() for n in p.values()} | ({manifest["repos"]} if manifest["repos"] else set())
+
+    def size(self) -> int:
+        return self._folder.size()
 
     # --- meta -------------------------------------------------------------------------------
 
     def all_meta(self) -> dict[str, str]:
-        at = self._version()
-        try:
-            return {} if at is None else json.loads((at / "meta.json").read_text())
-        except (OSError, ValueError) as e:
-            raise StoreError(f"the index can't be read: {e}") from e
+        return self._manifest()["meta"]
 
     def get_meta(self, key: str) -> str | None:
         return self.all_meta().get(key)
@@ -125,7 +151,7 @@ class Store:
             raise StoreError(f'a repository of the name "{name}" or the path {path} is registered already')
         new = int(self.get_meta("highest_repo") or 0) + 1
         row = self.spark.createDataFrame([(new, name, path, None)], schemas.REPOS)
-        self.commit({"highest_repo": str(new)}, repos=self.table("repos").union(row))
+        self.commit({"highest_repo": str(new)}, self.table("repos").union(row))
         return new
 
     def find_repo(self, name_or_path: str) -> dict | None:
@@ -139,27 +165,33 @@ class Store:
         repo = self.find_repo(name_or_path)
         if repo is None:
             return 0
-        rest = {n: self.table(n).filter(F.col("repo_id") != repo["id"]) for n in ("chunks", "vectors", "bands")}
-        self.commit(None, repos=self.table("repos").filter(F.col("id") != repo["id"]), **rest)
+        self.commit(None, self.table("repos").filter(F.col("id") != repo["id"]), gone=(repo["id"],))
         return repo["chunk_count"]
 
     def indexed_files(self, repo_id: int) -> DataFrame:
-        return indexed_files(self.table("chunks").filter(F.col("repo_id") == repo_id))
+        return indexed_files(self.table("chunks", repo_id))
 
     def file_paths(self, repo_id: int) -> DataFrame:
-        return self.table("chunks").filter(F.col("repo_id") == repo_id).select("file_path").distinct().orderBy("file_path")
+        return self.table("chunks", repo_id).select("file_path").distinct().orderBy("file_path")
 
     def clear_bands(self) -> None:
-        self.commit(None, bands=self.table("bands").limit(0))
+        """Drop all signatures; duplicates need a full index afterwards."""
+        empty = self.table("bands").limit(0)
+        self.commit(None, parts={int(r): {"bands": empty} for r in self._manifest()["parts"]})
 
     def has_bands(self) -> bool:
         return not self.table("bands").isEmpty()
 
-    def searchable(self) -> DataFrame:
-        """Chunks with their repo's name and their vector."""
+    def places(self) -> DataFrame:
+        """Chunks with their repo's name, without texts: what searches filter and order by."""
         repos = self.table("repos").select(F.col("id").alias("repo_id"), F.col("name").alias("repo"))
-        vectors = self.table("vectors").select(F.col("chunk_id").alias("id"), "embedding")
-        return self.table("chunks").join(repos, "repo_id").join(vectors, "id")
+        return self.table("chunks").drop("content", "file_mtime").join(F.broadcast(repos), "repo_id")  # a row for each registered repository
+
+    def texts(self) -> DataFrame:
+        return self.table("chunks").select("id", "content")
+
+    def vectors(self) -> DataFrame:
+        return self.table("vectors").select(F.col("chunk_id").alias("id"), "embedding")
 
     def signed(self) -> DataFrame:
         """(chunk_id, bands) as stored."""
