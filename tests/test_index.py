@@ -100,12 +100,12 @@ def run(spark, capsys, folder, *args):
 
 def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tree)
-    assert run(spark, capsys, tmp_path, "search", "x", "--format", "text")[1].startswith("Index is empty")
+    assert run(spark, capsys, tmp_path, "search", "x", "--format", "text")[1] == cli.NO_INDEX
     assert run(spark, capsys, tmp_path, "index")[0] == 1
-    assert run(spark, capsys, tmp_path, "repo", "add", str(tree), "--name", "r") == (0, f'Added repository "r" at {tree}', "")
+    assert run(spark, capsys, tmp_path, "repo", "add", str(tree), "--name", "r") == (0, f"r: added, at {tree}", "")
     assert run(spark, capsys, tmp_path, "repo", "add", str(tree))[0] == 1
     assert run(spark, capsys, tmp_path, "repo", "add", str(tree / "none"))[0] == 1
-    assert run(spark, capsys, tmp_path, "index")[1].startswith("Indexed 3 files (3 chunks) in r")
+    assert run(spark, capsys, tmp_path, "index")[1].startswith("r: 3 files, 3 chunks")
     assert "r" in run(spark, capsys, tmp_path, "index", "--status")[1]
     code, out, _ = run(spark, capsys, tmp_path, "search", "let b = 1", "--limit", "1")
     assert [(x["path"], x["line"]) for x in json.loads(out)] == [("src/util.ts", 1)]
@@ -115,12 +115,12 @@ def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
     assert {x["path"] for x in out} == {"src/main.py", "src/util.ts"}
     monkeypatch.chdir("/")
     assert run(spark, capsys, tmp_path, "search", "x") == (0, "[]", cli.NOT_HERE)
-    assert run(spark, capsys, tmp_path, "duplicates", "--repo", "r", "--format", "text")[1] == "No duplicates found"
+    assert run(spark, capsys, tmp_path, "duplicates", "--repo", "r", "--format", "text")[1] == "no duplicates"
     assert run(spark, capsys, tmp_path, "duplicates", "--repo", "none")[0] == 1
-    assert run(spark, capsys, tmp_path, "config", "set", "embedding.model", "m")[1].startswith("Warning")
+    assert run(spark, capsys, tmp_path, "config", "set", "embedding.model", "m")[1].splitlines()[0].endswith("index in full")
     assert run(spark, capsys, tmp_path, "config", "get", "embedding.model")[1] == "m"
     assert run(spark, capsys, tmp_path, "config", "get", "embedding.odd")[0] == 1
-    assert run(spark, capsys, tmp_path, "repo", "remove", "r")[1] == 'Removed repository "r" (3 chunks deleted)'
+    assert run(spark, capsys, tmp_path, "repo", "remove", "r")[1] == "r: removed, with 3 chunks"
     with pytest.raises(SystemExit):
         cli.main(["-v", "-q", "repo", "list"])
 
