@@ -15,8 +15,8 @@ from ..functions import vectors as V
 from ..operators import chunk as C
 from ..operators import diff as D
 from ..operators.duplicates import find_duplicates
-from ..operators.embed import HashingProvider, embed_column, hashed, hashed_entries
-from ..operators.lsh import SimHash, candidates, exploded, verified
+from ..operators.embed import HashingProvider, embed_rows, hashed, hashed_entries
+from ..operators.lsh import SimHash, candidates, exploded, similar_exact, verified
 from ..operators.search import search, search_blocks, search_many
 from ..sources.scan import wanted
 from .corpus import FILES, VECTOR_CHUNKS, files, table, vector_chunks
@@ -41,6 +41,10 @@ def _vector(spark: SparkSession, sf_dir: str, of: int = _QUERY_VECTOR) -> list[f
     return [float(x) for x in table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == of).select("embedding").first()[0]]
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -99,12 +103,12 @@ def knn_score_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (1, 2, 3)),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
 r AS (SELECT query_id, vec_id AS id, list_distance(embedding::DOUBLE[], v) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding::DOUBLE[], v), vec_id) AS rank FROM embeddings, q)
 SELECT query_id, id, round(greatest(0, 1 - d / 2), 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def knn_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(1, 2, 3)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _rounded(search_many(vector_chunks(spark, sf_dir), asked, 5), "score")
+    """Every vector whose id is divisible by 50 is a query, by expressions alone."""
+    return _rounded(search_many(vector_chunks(spark, sf_dir), _asked(spark, sf_dir), 5), "score")
 
 
 @registered("""
@@ -112,9 +116,8 @@ WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings W
 r AS (SELECT query_id, vec_id AS id, list_distance(embedding::DOUBLE[], v) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding::DOUBLE[], v), vec_id) AS rank FROM embeddings, q)
 SELECT query_id, id, round(greatest(0, 1 - d / 2), 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5""")
 def knn_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 50 is a query; ``knn_multi_query`` is the small batch."""
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return _rounded(search_blocks(vector_chunks(spark, sf_dir), asked, 5), "score")
+    """The same in blocks of queries and rows, for queries of any number."""
+    return _rounded(search_blocks(vector_chunks(spark, sf_dir), _asked(spark, sf_dir), 5), "score")
 
 
 @registered("""
@@ -123,8 +126,7 @@ SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.e, b.e), 6) AS
 FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.3""")
 def cosine_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vector_chunks(spark, sf_dir).select(F.col("id").alias("chunk_id"), "embedding")
-    pairs = vectors.select(F.col("chunk_id").alias("id_a")).join(vectors.select(F.col("chunk_id").alias("id_b")), F.col("id_a") < F.col("id_b"))
-    return _rounded(verified(pairs, vectors, 0.3), "similarity")
+    return _rounded(similar_exact(vectors, 0.3), "similarity")
 
 
 def _lsh() -> SimHash:
@@ -214,10 +216,13 @@ def duplicates_multi_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(find_duplicates(vector_chunks(spark, sf_dir), _lsh(), ["repo1", "repo4"], ["src/*"], threshold=0.2, limit=None))
 
 
-@registered("SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 0.0 ELSE 1.0 END AS similarity FROM embeddings")
+@registered("""WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE embedding::DOUBLE[] END AS e FROM embeddings)
+SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN a.id % 3 = 0 OR b.id % 3 = 0 THEN 0.0 ELSE list_cosine_similarity(a.e, b.e) END, 6) AS similarity FROM v a JOIN v b ON b.id = a.id + 1""")
 def cosine_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vector_chunks(spark, sf_dir).withColumn("other", F.transform("embedding", lambda x: F.when(F.col("id") % 2 == 0, 0.0).otherwise(x.cast("double"))))
-    return rows.select("id", F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+    """Each vector and the next one; a third of the vectors are zero, and have the cosine 0 with any."""
+    rows = vector_chunks(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")).alias("embedding"))
+    pairs = rows.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")).join(rows.select(F.col("id").alias("id_b")), "id_b")
+    return _rounded(verified(pairs, rows.withColumnRenamed("id", "chunk_id"), -1.0), "similarity")
 
 
 @registered(f"""WITH {_CANDIDATES}, v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -279,11 +284,14 @@ r AS (SELECT doc_id, n, size, pieces, 2 AS i, 1 AS bs, least(n, size)::INT AS be
   UNION ALL SELECT doc_id, n, size, pieces, i + 1,
     CASE WHEN be - bs + 1 < 4 THEN bs ELSE (i - 1) * size + 1 END, least(n, i * size)::INT,
     CASE WHEN be - bs + 1 < 4 THEN done ELSE list_append(done, {{'s': bs, 'e': be}}) END FROM r WHERE i <= pieces),
-e AS (SELECT doc_id, CASE WHEN len(done) > 0 AND be - bs + 1 < 4 THEN list_append(list_slice(done, 1, len(done) - 1), {{'s': done[-1].s, 'e': be}}) ELSE list_append(done, {{'s': bs, 'e': be}}) END AS segs FROM r WHERE i = pieces + 1)
-SELECT doc_id, unnest(list_transform(segs, lambda x: x.s)) AS line_start, unnest(list_transform(segs, lambda x: x.e)) AS line_end FROM e""")
+e AS (SELECT doc_id, CASE WHEN len(done) > 0 AND be - bs + 1 < 4 THEN list_append(list_slice(done, 1, len(done) - 1), {{'s': done[-1].s, 'e': be}}) ELSE list_append(done, {{'s': bs, 'e': be}}) END AS segs FROM r WHERE i = pieces + 1),
+x AS (SELECT doc_id, unnest(list_transform(segs, lambda x: x.s)) AS line_start, unnest(list_transform(segs, lambda x: x.e)) AS line_end FROM e),
+t AS (SELECT doc_id, string_split(content, chr(10)) AS lines, (doc_id % 5 + 1)::INT AS size FROM f),
+m AS (SELECT doc_id, line_start, line_end, list_transform(generate_series((line_start - 1) // size, (line_end - 1) // size), lambda k: trim(array_to_string(list_slice(lines, k * size + 1, least(line_end, (k + 1) * size)), chr(10)), chr(10))) AS pieces FROM x JOIN t USING (doc_id))
+SELECT doc_id, line_start, line_end, md5(trim(array_to_string(list_filter(pieces, lambda p: p <> ''), chr(10)), chr(10))) AS content FROM m""")
 def merge_small_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = _segments(spark, sf_dir).select("doc_id", F.explode(C.merge_small(F.col("segments"), 4)).alias("s"))
-    return merged.select("doc_id", "s.line_start", "s.line_end")
+    return merged.select("doc_id", "s.line_start", "s.line_end", F.md5("s.content").alias("content"))
 
 
 _IMPORTING = ("import a", "from b import (", "  c,", ")", "", "x = 1", "import late")
@@ -313,14 +321,29 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks of all documents with their unit vectors of hashed words."""
     rows = files(spark, sf_dir).select("doc_id", "repo", "file_path", "content")
-    out = C.chunk_files(rows, parser=None)
-    out = embed_column(out.withColumn("id", F.col("doc_id") * 1000 + F.col("line_start")), HashingProvider(), out="_e")
+    out = C.chunk_files(rows, parser=None).withColumn("id", F.col("doc_id") * 1_000_000 + F.col("line_start"))
+    out = embed_rows(out, HashingProvider(), "id").withColumnRenamed("embedding", "_e")
     size = V.norm(F.col("_e"))
     return out.withColumn("_n", size).withColumn("embedding", F.transform("_e", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x))).drop("_e", "_n")
 
 
-@registered()
+#: The same in DuckDB: tc, and q, the queries.
+_HASHED = """{name}w AS (SELECT id, unnest(list_filter(regexp_split_to_array(content, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) AS w FROM {rows}),
+{name}b AS (SELECT id, ((instr('0123456789abcdef', md5(w)[1]) - 1) * 16 + instr('0123456789abcdef', md5(w)[2]) - 1) % 64 AS i, sum(CASE WHEN instr('0123456789abcdef', md5(w)[3]) <= 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM {name}w GROUP BY ALL),
+{name}n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {name}b GROUP BY 1),
+{name} AS (SELECT r.id, list(coalesce(v, 0.0) / (CASE WHEN coalesce(n, 0) > 0 THEN n ELSE 1 END) ORDER BY g.i) AS e FROM {rows} r CROSS JOIN range(64) g(i) LEFT JOIN {name}b b ON b.id = r.id AND b.i = g.i LEFT JOIN {name}n k ON k.id = r.id GROUP BY r.id)"""
+_TEXT_CHUNKS = f"""{_windows_sql(80, 40).split("SELECT file_path, (s + 1)")[0].rstrip()},
+c AS (SELECT f.doc_id * 1000000 + s + 1 AS id, f.repo, s.file_path, (s + 1)::INT AS line_start, trim(array_to_string(list_slice(lines, s + 1, s + 80), chr(10)), chr(10)) AS content FROM s JOIN f USING (file_path)),
+{_HASHED.format(name="tc", rows="c")}"""
+
+
+@registered(f"""{_TEXT_CHUNKS}, items AS (SELECT item_id AS id, text AS content FROM benchmark WHERE item_id % 50 = 0), {_HASHED.format(name="q", rows="items")},
+d AS (SELECT q.id AS query_id, c.*, list_distance(tc.e, q.e) AS dist FROM c JOIN tc USING (id), q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rank FROM d)
+SELECT query_id, rank::INT AS rank, repo, file_path AS path, line_start AS line, round(greatest(0, 1 - dist / 2), 6) AS score, content AS snippet,
+  CASE lower(regexp_extract(file_path, '[.]([a-zA-Z]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'yml' THEN 'yaml' ELSE 'text' END AS lang FROM r WHERE rank <= 10""")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item whose id is divisible by 50 as a query, over all chunks of all documents."""
     chunks, e = _text_chunks(spark, sf_dir), F.col("e")
@@ -331,7 +354,8 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "score").select("query_id", "rank", "repo", "path", "line", "score", "snippet", "lang")
 
 
-@registered()
+@registered(f"""{_TEXT_CHUNKS}, p AS (SELECT a.id AS id_a, b.id AS id_b, list_dot_product(a.e, b.e) AS sim FROM tc a JOIN tc b ON a.id < b.id WHERE list_dot_product(a.e, b.e) >= 0.95)
+SELECT id_a, id_b, round(sim, 6) AS similarity, a.repo AS repo_a, b.repo AS repo_b, a.file_path AS path_a, b.file_path AS path_b FROM p JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE a.file_path <> b.file_path""")
 def text_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate chunks of real text, at the reference library's threshold.
 
