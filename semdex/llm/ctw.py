@@ -8,10 +8,11 @@ scored with its end, a zero byte, given zero bytes before it.
 The top of the trees, to two bytes of context, is fixed by counts of three bytes in a row over all
 training texts, of which there are at most 2**24 whatever the corpus; so counts and tables of it have
 a hard bound, and go to every task. What is deeper grows with the corpus and is never in one place:
-each task sends the distinct runs of bytes of a few megabytes of text, with their training counts, to
-the owners of their three-byte contexts' hashes. An owner has whole trees below such contexts. It
-first sends out their weighted probabilities, which the top needs, summed by two-byte context; then it
-answers each run with the log probability of its last byte.
+each task sends the distinct runs of bytes of some megabytes of text, with their training counts, to
+the owners of their three-byte contexts' hashes, who follow the size of the corpus. An owner has whole
+trees below such contexts. It first sends out the counts of three bytes in a row and the weighted
+probabilities that the top needs, summed by two-byte context; then it answers each run with the log
+probability of its last byte.
 
 For the unigram score, the corpus's words are counted. Each task sends the distinct words of a few
 megabytes of text to the owners of their hash range, which sum up and answer; what is shuffled
@@ -25,7 +26,7 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, flat, materialize, mix, remainder, spans, word_hashes
+from .common import LOWER, chunks, distinct, flat, materialize, mix, remainder, spans, stream, word_hashes
 from .groups import complete_groups
 
 #: Bytes of context at the top of the trees, and in all if none are asked for; runs are held in 64 bits.
 DEPTH, MOST_DEPTH = 2, 7
-#: Text bytes that a worker scores at a time; whose distinct words it asks for together.
-TEXT_BYTES = 1 << 21
-#: Chunks of distinct words are answered by as many owners as there are shuffle partitions.
-_OWNERS = "spark.sql.shuffle.partitions"
+#: Text bytes and texts that a worker looks at together; text bytes whose distinct words and runs it asks for together.
+TEXT_BYTES, _ROWS, CHUNK_TEXT = 1 << 20, 1 << 16, 6 << 20
+#: Words are dealt to as many owners as there are shuffle partitions, or more: one for so many bytes of all texts.
+_OWNERS, OWNED_TEXT = "spark.sql.shuffle.partitions", 1 << 24
 #: Owners of runs of bytes for each of those, so that each has little at a time.
 RUN_OWNERS = 4
 
@@ -85,12 +86,12 @@ def _owned(code: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(owner[order], np.arange(owners + 1))
 
 
-def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(counts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and their sums."""
+    if len(counts) == 1:
+        return counts[0]
     code, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
-    total = np.zeros(len(code), np.int64)
-    np.add.at(total, at, np.concatenate([n for _, n in counts]))
-    return code, total
+    return code, np.bincount(at, np.concatenate([n for _, n in counts]), len(code)).astype(np.int64)
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             for at in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].astype(np.int32)), pa.array(n[at : at + (1 << 16)])], ["code", "n"])
 
-    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return stream(docs.select("text"), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 _SMALL = 32
@@ -303,200 +304,222 @@ class Model:
         return np.add.reduceat(self.table[(self.row[code >> np.uint32(8)].astype(np.int64) << 8) | (code & np.uint32(255))], begin)
 
 
-def train(training: DataFrame, kind: type = Model, *below: np.ndarray) -> Model | Top:
+def train(training: DataFrame) -> Model:
     got = trigram_counts(training).toArrow()  # 2**24 rows at most
-    return kind(np.asarray(got.column("code").combine_chunks()), np.asarray(got.column("n").combine_chunks()), *below)
+    return Model(np.asarray(got.column("code").combine_chunks()), np.asarray(got.column("n").combine_chunks()))
 
 
-_CHUNK = "chunk long, doc_id array<long>, held_out array<boolean>, texts array<binary>, asked array<struct<owner int, hashes binary, trained binary>>"
+_ASKED = "array<struct<owner int, n int, values binary, trained binary>>"
+_CHUNK = f"chunk long, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary, words {_ASKED}, runs {_ASKED}"
 
 
-def _distinct_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words, the words as places in them, and each text's number of words."""
-    starts, ends, first = spans(buf, off)
-    seen, place = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
-    return seen, place, np.diff(first)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
 
 
-def _asked(docs: DataFrame, owners: int) -> DataFrame:
-    """A row for each few megabytes of text: the lower-cased texts, and their distinct words by owner."""
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, all lowest ones first, compressed."""
+    return _codec().compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes(), asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in chunks(batch, limit=TEXT_BYTES):
-                buf, off = flat(part.column("text"))
-                buf = LOWER[buf]
-                seen, place, n = _distinct_words(buf, off)
-                held = np.asarray(part.column("held_out"))
-                trained = np.bincount(place[np.repeat(~held, n)], minlength=len(seen)).astype(np.int64)
-                owner = ((seen >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
-                cut = np.searchsorted(owner, np.arange(owners + 1))
-                asked = [{"owner": i, "hashes": seen[a:b].tobytes(), "trained": trained[a:b].tobytes()} for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                data = buf.tobytes()
-                texts = [data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_pylist([{"chunk": at, "doc_id": part.column("doc_id").to_pylist(), "held_out": held.tolist(), "texts": texts, "asked": asked}], _arrow)
-                at += 1
-
-    _arrow = pa.schema([
-        ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary())),
-        ("asked", pa.list_(pa.struct([("owner", pa.int32()), ("hashes", pa.binary()), ("trained", pa.binary())]))),
-    ])
-    return docs.mapInArrow(run, _CHUNK)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """Each row of chunks, the bytes of its texts on end, and where each text begins."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in row["texts"]], dtype=np.int64)])
-            yield row, np.frombuffer(b"".join(row["texts"]), np.uint8), off
-
-
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of whole numbers, all lowest ones first: of sorted numbers, these compress well."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
-
-
-def _from_planes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+
+def _unpacked(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(_codec().decompress(data, n * width, asbytes=True), np.uint8).reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
-def _run_rows(asked: DataFrame, depth: int, owners: int) -> DataFrame:
-    """(chunk, owner, runs, trained): each chunk's distinct runs with training counts, dealt to their owners."""
+def _counted(values: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs where nothing is held out."""
+    trained = np.sort(values[~held])
+    first = np.flatnonzero(np.concatenate([[True], trained[1:] != trained[:-1]])) if len(trained) else np.zeros(0, np.int64)
+    n, trained, other = np.diff(np.append(first, len(trained))), trained[first], distinct(values[held])
+    if len(trained):
+        other = other[trained[np.minimum(np.searchsorted(trained, other), len(trained) - 1)] != other]
+    both = np.sort(np.concatenate([trained, other]))
+    counts = np.zeros(len(both), np.int64)
+    counts[np.searchsorted(both, trained)] = n
+    return both, counts
+
+
+def _words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of words of each text."""
+    starts, ends, first = spans(buf, off)
+    return word_hashes(buf, starts, ends), np.diff(first)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, buf, off in _rows(batches):
-            code, begin = byte_runs(buf, off, depth)
-            seen, place = np.unique(code, return_inverse=True)
-            trained = np.bincount(place[np.repeat(~np.array(row["held_out"], bool), np.diff(np.append(begin, len(code))))], minlength=len(seen))
-            order, cut = _owned(seen, owners)
-            seen, trained = seen[order], trained[order]
-            owner = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(owner), row["chunk"])), pa.array(owner.astype(np.int32)), *[pa.array([_planes(x[cut[i] : cut[i + 1]], w) for i in owner], pa.binary()) for x, w in ((seen, depth + 1), (trained, 4))]],
-                ["chunk", "owner", "runs", "trained"],
-            )
 
-    rows = asked.select("chunk", "held_out", "texts").mapInArrow(run, "chunk long, owner int, runs binary, trained binary")
-    return rows.repartition(owners, "owner").sortWithinPartitions("owner")
+def _word_owner(hashes: np.ndarray, owners: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
 
 
-def _owned_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each owner: chunks, owners and lengths of its rows, its distinct runs and their counts, and the rows' places in them."""
+def _asked(docs: DataFrame, depth: int, owners: int) -> DataFrame:
+    """A row for each few megabytes of text: the lower-cased texts, and their distinct words and runs by owner."""
+
+    def by_owner(values: np.ndarray, counts: np.ndarray, cut: np.ndarray, width: int) -> list[dict]:
+        return [{"owner": i, "n": b - a, "values": _packed(values[a:b], width), "trained": _packed(counts[a:b], 4)} for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+
+    def row(at: int, parts: list[tuple]) -> pa.RecordBatch:
+        ids, held, sizes, texts, words, runs = zip(*parts, strict=True)
+        words, counts = _summed(words)
+        asked = by_owner(words, counts, np.searchsorted(_word_owner(words, owners), np.arange(owners + 1)), 8)
+        grams = []
+        if depth > DEPTH:
+            runs, counts = _summed(runs)
+            order, cut = _owned(runs, owners * RUN_OWNERS)
+            grams = by_owner(runs[order], counts[order], cut, depth + 1)
+        out = {"chunk": at, "doc_id": [x for part in ids for x in part], "held_out": np.concatenate(held).tolist(), "sizes": np.concatenate(sizes).tolist(), "texts": _codec().compress(b"".join(texts), asbytes=True), "words": asked, "runs": grams}
+        return pa.RecordBatch.from_pylist([out], _arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for part in chunks(batch, limit=TEXT_BYTES, rows=_ROWS):
+                buf, off = flat(part.column("text"))
+                buf = LOWER[buf]
+                held = np.asarray(part.column("held_out"))
+                hashes, n = _words_of(buf, off)
+                words, runs = _counted(hashes, np.repeat(held, n)), None
+                if depth > DEPTH:
+                    code, begin = byte_runs(buf, off, depth)
+                    runs = _counted(code, np.repeat(held, np.diff(np.append(begin, len(code)))))
+                parts.append((part.column("doc_id").to_pylist(), held, np.diff(off), buf.tobytes(), words, runs))
+                size += len(buf)
+                if size >= CHUNK_TEXT:
+                    yield row(at, parts)
+                    at, parts, size = at + 1, [], 0
+        if parts:
+            yield row(at, parts)
+
+    asked = pa.list_(pa.struct([("owner", pa.int32()), ("n", pa.int32()), ("values", pa.binary()), ("trained", pa.binary())]))
+    _arrow = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()), ("words", asked), ("runs", asked)])
+    return stream(docs, run, _CHUNK)
+
+
+def _dealt(asked: DataFrame, column: str, owners: int) -> DataFrame:
+    """(chunk, owner, n, values, trained) of all chunks, an owner's rows together."""
+    return asked.select("chunk", F.inline(column)).repartition(owners, "owner").sortWithinPartitions("owner")
+
+
+def _owned_values(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each owner: chunks, owners and lengths of its rows, its distinct values and their counts, and the rows' places in them."""
     for table, starts in complete_groups(batches, "owner", 1):
-        chunk, owner = np.asarray(table.column("chunk")), np.asarray(table.column("owner"))
-        runs, trained = table.column("runs").to_pylist(), table.column("trained").to_pylist()
+        chunk, owner, n = (np.asarray(table.column(c)) for c in ("chunk", "owner", "n"))
+        values, trained = table.column("values").to_pylist(), table.column("trained").to_pylist()
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            seen, at = np.unique(np.concatenate([_from_planes(x, depth + 1) for x in runs[s:e]]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([_from_planes(x, 4) for x in trained[s:e]]), len(seen))
-            yield chunk[s:e], owner[s:e], np.array([len(x) // (depth + 1) for x in runs[s:e]]), seen, n, at
+            seen, at = np.unique(np.concatenate([_unpacked(values[i], n[i], width) for i in range(s, e)]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([_unpacked(trained[i], n[i], 4) for i in range(s, e)]), len(seen))
+            yield chunk[s:e], owner[s:e], n[s:e], seen, counts, at
 
 
-def _below(rows: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The logarithms of weighted probabilities at three bytes of context, summed by two-byte context and node."""
+def _below(rows: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Three bytes in a row and their counts; the logarithms of weighted probabilities at three bytes of context, summed by two-byte context and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, seen, n, _ in _owned_runs(batches, depth):
-            for key, weighted, _, _ in deep(seen, n, depth):
+        for *_, seen, n, _ in _owned_values(batches, depth + 1):
+            some = n > 0  # runs of held out texts alone aren't in the trees
+            if not some.any():
+                continue
+            code, at = np.unique(seen[some] & np.uint64(0xFFFFFF), return_inverse=True)
+            for deeper, key, value in ((False, code.astype(np.int64), np.bincount(at, n[some])), *((True, key, weighted) for key, weighted, _, _ in deep(seen, n, depth))):
                 keys, at = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weighted))], ["key", "below"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), deeper)), pa.array(keys), pa.array(np.bincount(at, value))], ["deeper", "key", "value"])
 
-    got = rows.mapInArrow(run, "key long, below double").groupBy("key").agg(F.sum("below").alias("below")).toArrow()  # 255 * 2**16 rows at most
-    return np.asarray(got.column("key").combine_chunks()), np.asarray(got.column("below").combine_chunks())
+    got = stream(rows, run, "deeper boolean, key long, value double").groupBy("deeper", "key").agg(F.sum("value").alias("value")).toArrow()  # 256 ** 3 + 255 * 256 ** 2 rows at most
+    deeper, key, value = (np.asarray(got.column(c).combine_chunks()) for c in ("deeper", "key", "value"))
+    return key[~deeper], value[~deeper], key[deeper], value[deeper]
 
 
 def _run_logs(rows: DataFrame, top: Top, depth: int) -> DataFrame:
     """(chunk, logs): log10 of the probabilities of the runs asked for, by owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, owner, sizes, seen, n, at in _owned_runs(batches, depth):
+        for chunk, owner, sizes, seen, n, at in _owned_values(batches, depth + 1):
             logs = np.split(top.log10(seen, n, depth)[at], np.cumsum(sizes)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(owner), pa.array([x.tobytes() for x in logs], pa.binary())], ["chunk", "owner", "logs"])
 
-    answers = rows.mapInArrow(run, "chunk long, owner int, logs binary")
+    answers = stream(rows, run, "chunk long, owner int, logs binary")
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "logs")).alias("logs"))  # the runs of one chunk of text
 
 
-def _score_of_runs(buf: np.ndarray, off: np.ndarray, answers: list[dict], depth: int, owners: int) -> np.ndarray:
-    code, begin = byte_runs(buf, off, depth)
-    seen, place = np.unique(code, return_inverse=True)
-    log = np.empty(len(seen))
-    log[_owned(seen, owners)[0]] = np.frombuffer(b"".join(x["logs"] for x in sorted(answers, key=lambda x: x["owner"])))
-    return np.add.reduceat(log[place], begin)
-
-
-def _answered(asked: DataFrame, owners: int) -> DataFrame:
+def _answered(rows: DataFrame) -> DataFrame:
     """(chunk, owner, counts, words, tokens): training counts of the words asked for; words and tokens once for each owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in complete_groups(batches, "owner", 1):
-            chunk, owner = np.asarray(table.column("chunk")), np.asarray(table.column("owner"))
-            hashes, trained = table.column("hashes").to_pylist(), table.column("trained").to_pylist()
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                seen, at = np.unique(np.frombuffer(b"".join(hashes[s:e]), np.uint64), return_inverse=True)
-                total = np.zeros(len(seen), np.int64)
-                np.add.at(total, at, np.frombuffer(b"".join(trained[s:e]), np.int64))
-                counts, place = total[at], 0
-                for i in range(s, e):
-                    k = len(hashes[i]) // 8
-                    once = i == s
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(chunk[i : i + 1]), pa.array(owner[i : i + 1]), pa.array([counts[place : place + k].tobytes()], pa.binary()), pa.array([int((total > 0).sum()) if once else 0], pa.int64()), pa.array([int(total.sum()) if once else 0], pa.int64())],
-                        ["chunk", "owner", "counts", "words", "tokens"],
-                    )
-                    place += k
-
-    rows = asked.select("chunk", F.inline("asked")).repartition(owners, "owner").sortWithinPartitions("owner")
-    return rows.mapInArrow(run, "chunk long, owner int, counts binary, words long, tokens long")
+        for chunk, owner, sizes, _, n, at in _owned_values(batches, 8):
+            counts = [_packed(x, 6) for x in np.split(n[at], np.cumsum(sizes)[:-1])]
+            once = np.arange(len(chunk)) == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunk), pa.array(owner), pa.array(sizes), pa.array(counts, pa.binary()), pa.array(once * int((n > 0).sum())), pa.array(once * int(n.sum()))],
+                ["chunk", "owner", "n", "counts", "words", "tokens"],
+            )
+
+    return stream(rows, run, "chunk long, owner int, n int, counts binary, words long, tokens long")
+
+
+def _score_of_runs(buf: np.ndarray, off: np.ndarray, runs: np.ndarray, logs: np.ndarray, depth: int) -> np.ndarray:
+    """Each text's sum of the logarithms of its runs, from all distinct runs in order and theirs."""
+    code, begin = byte_runs(buf, off, depth)
+    n = len(off) - 1
+    text = np.repeat(np.arange(n, dtype=np.uint64), np.diff(np.append(begin, len(code))))
+    if depth <= 5 and n <= _ROWS:  # in order of run, which a sort of 64 bits gives, look-ups are far cheaper
+        both = np.sort((code << np.uint64(16)) | text)
+        code, text = both >> np.uint64(16), both & np.uint64(0xFFFF)
+    return np.bincount(text.astype(np.int64), logs[np.searchsorted(runs, code)], n)
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not DEPTH <= depth <= MOST_DEPTH:
         raise ValueError(f"depth is {depth}, not {DEPTH} to {MOST_DEPTH}")
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    training = docs.filter("NOT held_out")
-    owners = max(1, int(spark.conf.get(_OWNERS)))
-    asked = materialize(_asked(docs, owners), "asked")
-    answers = materialize(_answered(asked, owners), "answers")
+    texts, size = docs.agg(F.coalesce(F.count_if(~F.col("held_out")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    owners = max(1, int(docs.sparkSession.conf.get(_OWNERS)), -(-size // OWNED_TEXT))
+    asked = materialize(_asked(docs, depth, owners), "asked")
+    answers = materialize(_answered(_dealt(asked, "words", owners)), "answers")
     sums = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    texts = training.count()
     tokens, words, ends = sums[1] + texts, sums[0] + bool(texts), texts
 
-    many = owners * RUN_OWNERS
-    rows = asked.select("chunk", "doc_id", "held_out", "texts")
+    rows = asked.select("chunk", "doc_id", "held_out", "sizes", "texts", F.transform("runs", lambda x: F.struct(x["owner"].alias("owner"), x["n"].alias("n"), x["values"].alias("values"))).alias("runs"))
     if depth > DEPTH:
-        runs = _run_rows(asked, depth, many)
-        model = train(training, Top, *_below(runs, depth))
-        rows = rows.join(_run_logs(runs, model, depth), "chunk")
+        dealt = _dealt(asked, "runs", owners * RUN_OWNERS)
+        model = Top(*_below(dealt, depth))
+        rows = rows.join(_run_logs(dealt, model, depth), "chunk")
     else:
-        model = train(training)
+        model = train(docs.filter("NOT held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, buf, off in _rows(batches):
-            _, place, n = _distinct_words(buf, off)
-            score = _score_of_runs(buf, off, row["logs"], depth, many) if depth > DEPTH else model.score(*codes(buf, off))
-            counts = np.frombuffer(b"".join(x["counts"] for x in sorted(row["got"] or [], key=lambda x: x["owner"])), np.int64)
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            base, known = np.full(len(n), np.log10(ends + 1)), np.full(len(n), int(ends > 0))
-            some = n > 0
-            if some.any():
-                base[some] += np.add.reduceat(np.log10(counts + 1.0)[place], first[some])
-                known[some] += np.add.reduceat((counts > 0)[place], first[some], dtype=np.int64)
-            base -= (n + 1) * np.log10(float(tokens + words + 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    got = answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "counts")).alias("got"))  # the words of one chunk of text
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                off = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
+                buf = np.frombuffer(_codec().decompress(row["texts"], int(off[-1]), asbytes=True), np.uint8)
+                hashes, n = _words_of(buf, off)
+                place = np.searchsorted(distinct(hashes), hashes)
+                counts = np.concatenate([np.zeros(0, np.uint64), *[_unpacked(x["counts"], x["n"], 6) for x in sorted(row["got"] or [], key=lambda x: x["owner"])]])
+                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                base, known = np.full(len(n), np.log10(ends + 1)), np.full(len(n), int(ends > 0))
+                some = n > 0
+                if some.any():
+                    base[some] += np.add.reduceat(np.log10(counts + 1.0)[place], first[some])
+                    known[some] += np.add.reduceat((counts > 0)[place], first[some], dtype=np.int64)
+                base -= (n + 1) * np.log10(float(tokens + words + 1))
+                runs = logs = None
+                if depth > DEPTH:
+                    runs = np.concatenate([_unpacked(x["values"], x["n"], depth + 1) for x in sorted(row["runs"], key=lambda x: x["owner"])])
+                    order = np.argsort(runs)
+                    runs, logs = runs[order], np.frombuffer(b"".join(x["logs"] for x in sorted(row["logs"], key=lambda x: x["owner"])))[order]
+                score, at = [], 0
+                while at < len(n):  # some megabytes at a time
+                    to = min(at + _ROWS, max(at + 1, int(np.searchsorted(off, off[at] + TEXT_BYTES, "right")) - 1))
+                    part, ends_at = buf[off[at] : off[to]], off[at : to + 1] - off[at]
+                    score.append(_score_of_runs(part, ends_at, runs, logs, depth) if depth > DEPTH else model.score(*codes(part, ends_at)))
+                    at = to
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(np.concatenate(score))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    got = answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "n", "counts")).alias("got"))  # the words of one chunk of text
     rows = rows.join(got, "chunk", "left")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return stream(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(of: int = 7, rest: int = 2) -> Column:
