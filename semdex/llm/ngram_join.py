@@ -30,9 +30,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
 from .common import LOWER, chunks, distinct, flat, materialize, mix, spans, stream, word_hashes
 from .graph import components
 from .groups import complete_groups
@@ -122,19 +123,6 @@ def sketch(docs: DataFrame) -> DataFrame:
     return stream(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_runs int, set_id binary, signature binary, buckets array<long>")
 
 
-def _blocks(rows: DataFrame, parts: Column, group: str, member: str) -> DataFrame:
-    """Deal each group's members to tasks: one for each pair of the group's parts, part with itself too.
-
-    Adds task (a hash of group and pair) and side: 0 or 1 in a task of two parts, 2 in one of one.
-    """
-    rows = rows.withColumn("_parts", parts.cast("int"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(member, F.lit("part")), F.col("_parts")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    side = F.when(F.col("_part") == F.col("_other"), 2).when(F.col("_part") < F.col("_other"), 0).otherwise(1)
-    task = F.xxhash64(group, F.least("_part", "_other"), F.greatest("_part", "_other"))
-    return rows.withColumns({"side": side.cast("int"), "task": task}).drop("_parts", "_part", "_other")
-
-
 def _pairs(side: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one task, some at a time: all of them, or those across its two parts."""
     own = np.flatnonzero(side == 2)
@@ -275,18 +263,20 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # an id may stand for several sets, a number for one
 
     rows = classes.select("rep", F.explode("buckets").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # sizes are written before they are joined, so that Spark can split a hot bucket or family
+    counts = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     rows = rows.join(counts, "bucket").join(classes.select("rep", "signature"), "rep")
-    links = candidate_links(_blocks(rows, F.ceil(F.col("n") / PART), "bucket", "rep"), need)
+    links = candidate_links(dealt(rows, F.ceil(F.col("n") / PART), "bucket", "rep"), need)
     families = components(links)
 
     members = families.withColumnsRenamed({"node": "rep"}).join(classes.select("rep", "least", "set_id", "copies", "n_runs"), "rep")
     members = materialize(members, "members")
     sizes = members.groupBy(F.col("component").alias("_family")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("n_runs") / PART_RUNS)).alias("parts"))
+    sizes = materialize(sizes, "families")
     members = members.join(sizes, F.col("component") == F.col("_family")).select("rep", "least", "component", "set_id", "copies", "parts")
     few = members.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").join(F.broadcast(members) if few else members, "least")
-    found = materialize(verified(_blocks(_with_runs(texts), F.col("parts"), "component", "rep"), need, threshold), "verified")
+    found = materialize(verified(dealt(_with_runs(texts), F.col("parts"), "component", "rep"), need, threshold), "verified")
 
     ids = classes.select("rep", "least")
     linked_ids = found.select("rep", "root").join(ids, "rep").select("root", F.col("least").alias("a")).join(ids.withColumnsRenamed({"rep": "root", "least": "b"}), "root").select("a", "b")
