@@ -63,8 +63,20 @@ def op10_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+def vector_graph_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op10_vector_graph``, with two vectors planted beside each: one above the cosine, one about at it from the first."""
+    rows = _table(spark, sf_dir, "embeddings")
+    turned = F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))
+    near = lambda by: F.zip_with("embedding", turned, lambda x, y: (x.cast("double") + by * y.cast("double")).cast("float"))
+    all_rows = rows.select("vec_id", "embedding", "label")
+    for k, by in ((1, 0.1), (2, 0.3)):
+        all_rows = all_rows.union(rows.select(F.col("vec_id") + k * 1_000_000_000, near(by), "label"))
+    found, recall = vector_graph.links(all_rows)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall >= vector_graph.FAILED_RECALL).alias("audited"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if (k.startswith("op") or k == "vector_graph_planted") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFrame:
         "source",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), text).alias("shuffle"),
+        F.md5(F.concat(F.lit(f"{seed} "), text)).alias("shuffle"),
     )
     ranked = global_rank(slim, ["source"], ["shuffle", "text_crc32", "doc_id"], total="_rows")
     ranked = ranked.withColumn("_fraction", (F.col("rank") + 0.5) / F.col("_rows")).drop("rank", "_rows")

@@ -21,6 +21,28 @@ each AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target
 SELECT doc_id, size, source_size, target, ((floor((k + 1) * r + {offset_of(16)!r}::DOUBLE) - floor(k * r + {offset_of(16)!r}::DOUBLE)) * size)::BIGINT AS taken FROM each
 """
 
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32, from its polynomial."""
+    rows = list(range(256))
+    for _ in range(8):
+        rows = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in rows]
+    return rows
+
+
+_HEX = "0123456789ABCDEF"
+OP4 = f"""
+WITH crc AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+texts AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT coalesce(text, '') AS x FROM documents)),
+bytes AS (SELECT x, list_transform(range(len(h) // 2), lambda i: ((instr('{_HEX}', h[2 * i + 1]) - 1) * 16 + instr('{_HEX}', h[2 * i + 2]) - 1)::UBIGINT) AS b FROM texts),
+sums AS (SELECT x, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda a, y: xor(a >> 8, t[((xor(a, y) & 255) + 1)::INT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM bytes, crc),
+docs AS (SELECT doc_id, source, strlen(x) + 1 AS size, text_crc32, md5('1 ' || x) AS shuffle FROM (SELECT *, coalesce(text, '') AS x FROM documents) JOIN sums USING (x)),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY shuffle, text_crc32, doc_id NULLS FIRST) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction, count(*) OVER () AS n FROM docs),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, doc_id NULLS FIRST, text_crc32) - 1 AS k FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (k * 8 // n)::INT AS shard, (k - (k * 8 // n * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard FROM placed
+"""
+
 OP6 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
 windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
@@ -59,4 +81,8 @@ SELECT vec_id, coalesce(degree.n, 0) AS n_links, least(vec_id, coalesce(least.b,
 FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id
 """
 
-ORACLES = {"op1_mix_systematic": OP1, "op6_quality_cascade": OP6, "op7_ngram_jaccard_join": OP7, "op10_vector_graph": OP10}
+_NEAR = "SELECT vec_id + {} AS vec_id, list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE + {} * embedding[CASE WHEN i = len(embedding) THEN 1 ELSE i + 1 END]::DOUBLE)::FLOAT) AS embedding, label FROM embeddings"
+PLANTED = OP10.replace("embeddings", "planted").replace(" AS kept\n", " AS kept, true AS audited\n")
+PLANTED = PLANTED.replace("WITH RECURSIVE", f"WITH RECURSIVE planted AS (SELECT vec_id, embedding, label FROM embeddings UNION ALL {_NEAR.format(1_000_000_000, 0.1)} UNION ALL {_NEAR.format(2_000_000_000, 0.3)}),")
+
+ORACLES = {"op1_mix_systematic": OP1, "op4_shard_interleave": OP4, "op6_quality_cascade": OP6, "op7_ngram_jaccard_join": OP7, "op10_vector_graph": OP10, "vector_graph_planted": PLANTED}

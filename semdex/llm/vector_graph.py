@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
 from .common import distinct, materialize, stream
 from .graph import components
 from .groups import complete_groups
-from .ngram_join import _blocks, _roots
+from .ngram_join import _roots
 from .sampling import place
 
 COSINE = 0.98
@@ -349,10 +350,10 @@ def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tu
     while True:
         centroids = fit_centroids(vectors, overlap)
         placed = materialize(_clusters(vectors, centroids, overlap), "placed")
-        dealt = placed.withColumn("cluster", F.explode("clusters"))
-        sizes = dealt.groupBy("label", "width", "cluster").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
-        dealt = dealt.join(sizes, ["label", "width", "cluster"]).withColumn("group", F.xxhash64("label", "width", "cluster"))
-        tasks = materialize(_blocks(dealt, F.col("parts"), "group", "rep"), "tasks")
+        spread = placed.withColumn("cluster", F.explode("clusters"))
+        sizes = spread.groupBy("label", "width", "cluster").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+        spread = spread.join(sizes, ["label", "width", "cluster"]).withColumn("group", F.xxhash64("label", "width", "cluster"))
+        tasks = materialize(dealt(spread, F.col("parts"), "group", "rep"), "tasks")
         near = _graphs(tasks).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list for each task of the vector
         found = materialize(_searched(tasks.join(near, "rep"), cosine), "found")
         sums = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -296,7 +296,7 @@ def test_audit_sees_small_groups_beside_a_dense_one(spark):
             at += 1
     table = spark.createDataFrame([(i, e, label, len(e), 1) for i, e, label in rows], "rep long, embedding array<float>, label int, width int, copies long")
     exact, _ = vector_graph._audit(table, 0.98)
-    exact = exact.localCheckpoint()
+    exact = exact.cache()
     lost = spark.createDataFrame([(i, 699 if i < 700 else 0) for i in range(at)], "rep long, links long")
     kept = spark.createDataFrame([(i, 699 if i < 700 else int(i < 900)) for i in range(at)], "rep long, links long")
     assert exact.filter("exact > 0 AND rep >= 700").count() >= 60
@@ -305,6 +305,42 @@ def test_audit_sees_small_groups_beside_a_dense_one(spark):
     assert vector_graph._recall(exact.filter("exact = 0"), kept) is None
 
 
+def test_vectors_that_share_an_id(spark):
+    """Each row has the links of its own vector; an id that stands for two vectors doesn't link them."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    like = lambda v: [x + 0.01 for x in v]
+    rows = [(5, a, 1), (5, b, 1), (7, like(a), 1), (6, like(b), 1), (8, like(a), 2), (None, a, 1), (9, b, 1), (9, b, 1)]
+    found, recall = vector_graph.links(vectors(spark, rows))
+    got = Counter(tuple(r) for r in found.collect())
+    assert got == Counter([(5, 1, 5), (5, 3, 5), (7, 1, 5), (6, 3, 5), (8, 0, 8), (None, 0, None), (9, 3, 5), (9, 3, 5)]) and recall == 1
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "range_pairs", lambda *a, **k: iter(()))
+    with pytest.raises(vector_graph.RecallError):
+        vector_graph.links(vectors(spark, [(i, [1.0, i / 1000], 1) for i in range(20)]))
+
+
+def test_dense_groups_at_production_size(spark):
+    """A third of the vectors are one dense group, dealt over parts; planted pairs and triples beside it."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    dense = unit(unit(rng.standard_normal(24)) + rng.standard_normal((2600, 24)) * 0.004)
+    loose = unit(rng.standard_normal((2600, 24)))
+    planted = unit(np.concatenate([loose[:200], loose[:100]]) + rng.standard_normal((300, 24)) * 0.004)
+    x = np.concatenate([dense, loose, planted]).astype(np.float32)
+    found, recall = vector_graph.links(vectors(spark, [(i, [float(v) for v in e], 1) for i, e in enumerate(x)]))
+    y = unit(x.astype(float))
+    near = y @ y.T >= 0.98
+    np.fill_diagonal(near, False)
+    links = {r["vec_id"]: r["n_links"] for r in found.collect()}
+    assert recall >= 0.97
+    assert sum(min(links[i], n) for i, n in enumerate(near.sum(1))) >= 0.99 * near.sum()
+    small = [i for i in range(2600, len(x)) if near[i].any()]
+    assert len(small) >= 500 and np.mean([links[i] == near[i].sum() for i in small]) >= 0.97
+    assert all(links[i] <= n for i, n in enumerate(near.sum(1)))
+
+
 def test_vectors_of_nothing(spark):
     found, recall = vector_graph.links(vectors(spark, [(1, [1.0], 1)]).limit(0))
     assert found.collect() == [] and recall == 1.0
