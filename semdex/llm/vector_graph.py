@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors of a label are dealt to clusters, each to its ``overlap`` nearest centroids (fitted on a
-bounded sample). Every cluster builds a flat graph: from a random one, each vector is searched from
+bounded sample; of very many vectors, what lies around a centroid is divided once more). Every cluster builds a flat graph: from a random one, each vector is searched from
 the medoid and linked to those of the vectors met that robust pruning leaves, in two passes, with
 reverse links. A vector's lists from all its clusters are united. Then each cluster searches its
 vectors in the united graph: greedily from the medoid with a bounded beam, and from all hits on, and
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.blocks import dealt
+from ..operators.blocks import dealt, groups
 from .common import distinct, materialize, stream
 from .graph import components
 from .groups import complete_groups
@@ -43,8 +43,10 @@ COSINE = 0.98
 DEGREE, BEAM, OVERLAP = 24, 32, 2
 #: Vectors of a cluster, about, before overlap, and of a part of a large one: twice what a common cluster holds.
 CLUSTER, PART = 600, 2400
-#: Centroids in all, and vectors of the sample for each.
+#: Centroids that are fitted at a time, and vectors of the sample for each; more vectors have two levels of centroids.
 MOST_CENTROIDS, SAMPLE_EACH = 4096, 24
+#: Vectors of a cell that a task assigns to the cell's centroids.
+ASSIGNED = 50_000
 AUDITED, LEAST_RECALL, FAILED_RECALL = 256, 0.97, 0.9
 #: Audited vectors at most; linked groups, about, that the audit should meet; overlap at most if it meets none.
 MOST_AUDITED, LEAST_GROUPS, BLIND_OVERLAP = 8192, 64, 8
@@ -191,6 +193,18 @@ def _padded(lists: list[np.ndarray], n: int, degree: int) -> np.ndarray:
     return out
 
 
+def _fitted(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centroids of unit rows, by some rounds of spherical k-means."""
+    c = x[np.random.default_rng(k).choice(len(x), k, replace=False)]
+    for _ in range(8):
+        near = (x @ c.T).argmax(1)
+        for j in range(k):
+            if (near == j).any():
+                m = x[near == j].sum(0)
+                c[j] = m / max(1e-12, np.sqrt(m @ m))
+    return c
+
+
 def fit_centroids(vectors: DataFrame, overlap: int) -> dict[tuple[int, int], np.ndarray]:
     """Centroids by (label, length), of those labels that need more than one cluster."""
     sizes = {(r["label"], r["width"]): r["n"] for r in vectors.groupBy("label", "width").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLUSTER).collect()}
@@ -208,14 +222,7 @@ def fit_centroids(vectors: DataFrame, overlap: int) -> dict[tuple[int, int], np.
         rows = [i for i, x in enumerate(keys) if x == key]
         if len(rows) < k:
             continue
-        x = _matrix(got.column("embedding").take(rows))
-        c = x[np.random.default_rng(k).choice(len(x), k, replace=False)]
-        for _ in range(8):
-            near = (x @ c.T).argmax(1)
-            for j in range(k):
-                if (near == j).any():
-                    m = x[near == j].sum(0)
-                    c[j] = m / max(1e-12, np.sqrt(m @ m))
+        c = _fitted(_matrix(got.column("embedding").take(rows)), k)
         out[key] = c
     return out
 
@@ -242,6 +249,53 @@ def _clusters(vectors: DataFrame, centroids: dict[tuple[int, int], np.ndarray],
     return stream(vectors.select("rep", "embedding", "label", "width", "copies"), run, schema)
 
 
+def _refined(placed: DataFrame) -> DataFrame:
+    """``placed`` with cells for clusters: what lies around a centroid in too great a number is divided again.
+
+    Each large cell's centroids are fitted on a sample of it, in a task of its own, and its vectors are
+    assigned to them in tasks of bounded size. So clusters stay small however many vectors there are,
+    and the driver fits no more than ``MOST_CENTROIDS``.
+    """
+    cell = ["label", "width", "cell"]
+    rows = placed.withColumn("cell", F.explode("clusters")).drop("clusters")
+    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(sizes.withColumn("_k", F.least(F.lit(MOST_CENTROIDS), F.ceil(F.col("_n") / (2 * CLUSTER)))), "cells")
+    rows = rows.join(sizes, cell)
+    step = F.lit(1 << 40) * F.least(F.lit(1.0), F.col("_k") * SAMPLE_EACH / F.col("_n"))
+    sample = rows.filter((F.col("_k") > 1) & (place("rep", "cells") < step)).select("label", "width", "cell", "_n", "_k", "rep", "embedding")
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        x = _matrix(group.column("embedding"))
+        c = _fitted(x, min(group.column("_k")[0].as_py(), len(x)))
+        return pa.table({**{n: group.column(n).slice(0, 1) for n in (*cell, "_n")}, "centroids": pa.array([c.astype("<f8").tobytes()])})
+
+    found = materialize(sample.groupBy(*cell).applyInArrow(fit, "label int, width int, cell int, _n long, centroids binary"), "cells")
+    salts = F.ceil(F.col("_n") / ASSIGNED).cast("int")
+    task = lambda salt: F.xxhash64(*cell, salt).alias("task")
+    none, most = F.lit(None), MOST_CENTROIDS
+    centres = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    centres = centres.select(task(F.col("_salt")), F.lit(0).alias("kind"), none.cast("long").alias("rep"), none.cast("array<float>").alias("embedding"), none.cast("int").alias("label"), none.cast("int").alias("width"), none.cast("long").alias("copies"), none.cast("int").alias("cell"), "centroids")
+    members = rows.select(task(F.pmod(F.xxhash64("rep", F.lit("salt")), salts).cast("int")), F.lit(1).alias("kind"), "rep", "embedding", "label", "width", "copies", "cell", none.cast("binary").alias("centroids"))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, "task"):
+            first = group.column("centroids")[0].as_py()
+            own = group if first is None else group.slice(1)
+            if not own.num_rows:
+                continue
+            near = np.zeros(own.num_rows, np.int64)
+            if first is not None:
+                x = _matrix(own.column("embedding"))
+                near = (x @ np.frombuffer(first).reshape(-1, x.shape[1]).T).argmax(1)
+            cluster = np.asarray(own.column("cell"), np.int64) * most + near
+            yield from own.select(["rep", "embedding", "label", "width", "copies"]).append_column("cluster", pa.array(cluster)).combine_chunks().to_batches()
+
+    dealt_out = centres.unionByName(members).repartition("task").sortWithinPartitions("task", "kind")
+    assigned = stream(dealt_out, assign, "rep long, embedding array<float>, label int, width int, copies long, cluster long")
+    return assigned.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("embedding", "label", "width", "copies")], F.sort_array(F.collect_set("cluster")).alias("clusters"))  # a cluster for each of the vector's cells
+
+
 def _first_common(clusters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least cluster that both vectors of each pair are in."""
     out = np.full(len(a), np.iinfo(np.int64).max)
@@ -346,10 +400,13 @@ def links(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> tu
     vectors = rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("least"), F.count(F.lit(1)).alias("copies"))
     # an id may stand for several vectors, a number for one
     vectors = materialize(vectors.withColumns({"width": F.size("embedding"), "rep": F.monotonically_increasing_id()}), "vectors")
+    total = vectors.count()
     exact, whole = _audit(vectors, cosine)
     while True:
         centroids = fit_centroids(vectors, overlap)
         placed = materialize(_clusters(vectors, centroids, overlap), "placed")
+        if total > MOST_CENTROIDS * CLUSTER:
+            placed = materialize(_refined(placed), "placed")
         spread = placed.withColumn("cluster", F.explode("clusters"))
         sizes = spread.groupBy("label", "width", "cluster").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
         spread = spread.join(sizes, ["label", "width", "cluster"]).withColumn("group", F.xxhash64("label", "width", "cluster"))

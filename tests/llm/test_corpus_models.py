@@ -305,6 +305,33 @@ def test_audit_sees_small_groups_beside_a_dense_one(spark):
     assert vector_graph._recall(exact.filter("exact = 0"), kept) is None
 
 
+def test_two_levels_of_centroids(spark, monkeypatch):
+    """With few centroids at a time, cells are divided again; clusters stay small and links are found."""
+    for name, value in (("CLUSTER", 40), ("MOST_CENTROIDS", 5), ("ASSIGNED", 60)):
+        monkeypatch.setattr(vector_graph, name, value)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((300, 16)))
+    x = np.concatenate([base, unit(base[:150] + rng.standard_normal((150, 16)) * 0.01)]).astype(np.float32)
+    table = vectors(spark, [(i, [float(v) for v in e], i % 2) for i, e in enumerate(x)] + [(900, [1.0, 2.0], 1)])
+    sizes = []
+    refined = vector_graph._refined
+
+    def watched(placed):
+        out = refined(placed)
+        sizes.append(out.select("label", F.explode("clusters").alias("c")).groupBy("label", "c").count().count())
+        return out
+
+    monkeypatch.setattr(vector_graph, "_refined", watched)
+    found, recall = vector_graph.links(table)
+    y = unit(x.astype(float))
+    near = (y @ y.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2)
+    np.fill_diagonal(near, False)
+    links = {r["vec_id"]: r["n_links"] for r in found.collect()}
+    assert len(links) == len(x) + 1 and sizes[0] > 10
+    assert recall >= 0.97 and sum(links[i] for i in range(len(x))) >= 0.97 * near.sum() > 100
+
+
 def test_vectors_that_share_an_id(spark):
     """Each row has the links of its own vector; an id that stands for two vectors doesn't link them."""
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
