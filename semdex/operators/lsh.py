@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +29,6 @@ class SimHash:
         if self.planes.shape != (num_bands * band_width, dim):
             raise ValueError(f"planes are {self.planes.shape}, not {(num_bands * band_width, dim)}")
 
-    @classmethod
-    def for_rows(cls, rows: int, dim: int, threshold: float, most_missed: float = 0.01, seed: int = 42) -> SimHash:
-        """As many bits a band as the rows have, so that a bucket holds few of unlike vectors, and as many bands as it
-        takes to miss a pair at the threshold with a chance of ``most_missed`` at most; 64 at most."""
-        width = max(6, min(24, math.ceil(math.log2(max(2, rows)))))
-        agree = (1 - math.acos(threshold) / math.pi) ** width
-        return cls(max(1, min(64, math.ceil(math.log(most_missed) / math.log1p(-min(agree, 1 - 1e-12))))), width, dim, seed)
-
     def bits(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, np.float32)
         if x.size == 0:

@@ -56,6 +56,17 @@ def stored(spark: SparkSession, sf_dir: str) -> Store:
     return store
 
 
+_SHARED: dict[tuple[str, str], Store] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str) -> Store:
+    """One such index for all queries of a session that only read it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SHARED:
+        _SHARED[key] = stored(spark, sf_dir)
+    return _SHARED[key]
+
+
 class Fixed(Provider):
     """Gives one vector for any text."""
 
@@ -76,12 +87,12 @@ def _search_sql(where: str, limit: int, threshold: float = 0.0) -> str:
 @registered(_search_sql("true", 25))
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors are found before places and texts are joined."""
-    return _rounded(search_index(stored(spark, sf_dir), Fixed(_vector(spark, sf_dir)), "any", 25), "score")
+    return _rounded(search_index(shared(spark, sf_dir), Fixed(_vector(spark, sf_dir)), "any", 25), "score")
 
 
 @registered(_search_sql("repo = 'repo2' AND lang IN ('go', 'python') AND file_path GLOB 'src/m[0-4]/*'", 15, 0.25))
 def index_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(search_index(stored(spark, sf_dir), Fixed(_vector(spark, sf_dir)), "any", 15, 0.25, "/w/2", ["go", "python"], "src/m[0-4]/*"), "score")
+    return _rounded(search_index(shared(spark, sf_dir), Fixed(_vector(spark, sf_dir)), "any", 15, 0.25, "/w/2", ["go", "python"], "src/m[0-4]/*"), "score")
 
 
 def _pairs_sql(threshold: float, where: str = "true") -> str:
@@ -98,18 +109,18 @@ def _pairs(df: DataFrame) -> DataFrame:
 @registered(_pairs_sql(0.25))
 def index_duplicates_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored signatures, verified in blocks; texts join the pairs that are left."""
-    return _pairs(index_duplicates(stored(spark, sf_dir), threshold=0.25, limit=None))
+    return _pairs(index_duplicates(shared(spark, sf_dir), threshold=0.25, limit=None))
 
 
 @registered(_pairs_sql(0.2, "a.repo = 'repo3' AND b.repo = 'repo3' AND a.file_path GLOB '*.go' AND b.file_path GLOB '*.go'"))
 def index_duplicates_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(index_duplicates(stored(spark, sf_dir), ["repo3"], ["*.go"], threshold=0.2, limit=None))
+    return _pairs(index_duplicates(shared(spark, sf_dir), ["repo3"], ["*.go"], threshold=0.2, limit=None))
 
 
 @registered(f"""WITH {_S} SELECT repo_id AS id, repo AS name, '/w/' || repo_id AS path, count(DISTINCT file_path)::BIGINT AS file_count, count(*)::BIGINT AS chunk_count, (row_number() OVER (ORDER BY repo))::INT AS place FROM s GROUP BY repo_id, repo""")
 def store_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry in order of names, with counts that are worked out from the chunks."""
-    rows = [(*r, i + 1) for i, r in enumerate(stored(spark, sf_dir).repos().select("id", "name", "path", "file_count", "chunk_count").collect())]  # a row for each repository
+    rows = [(*r, i + 1) for i, r in enumerate(shared(spark, sf_dir).repos().select("id", "name", "path", "file_count", "chunk_count").collect())]  # a row for each repository
     return spark.createDataFrame(rows, "id long, name string, path string, file_count long, chunk_count long, place int")
 
 
@@ -151,17 +162,17 @@ def store_delete_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {_S}, {_BANDS} SELECT b.id AS chunk_id, repo_id, band::INT AS band_idx, hash AS band_hash FROM bands b JOIN s USING (id) WHERE repo_id = 3")
 def store_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir).table("bands", 3).withColumn("band_hash", _byte("band_hash"))
+    return shared(spark, sf_dir).table("bands", 3).withColumn("band_hash", _byte("band_hash"))
 
 
 @registered(f"WITH {_S} SELECT DISTINCT file_path FROM s WHERE repo_id = 1")
 def store_file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir).file_paths(1)
+    return shared(spark, sf_dir).file_paths(1)
 
 
 @registered(f"WITH {_S} SELECT file_path, max(id)::DOUBLE AS mtime FROM s WHERE repo_id = 2 GROUP BY 1")
 def store_indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir).indexed_files(2)
+    return shared(spark, sf_dir).indexed_files(2)
 
 
 @registered("SELECT vec_id AS chunk_id, i::INT AS i, (embedding[i] * 1.1::DOUBLE)::FLOAT::DOUBLE AS v FROM embeddings, range(1, 65) r(i)")
@@ -211,7 +222,7 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {_S} SELECT c AS asked, CASE WHEN c LIKE 'no %' THEN '0 rows' ELSE 'refused' END AS got FROM (VALUES ('no limit'), ('no languages that fit'), ('no repositories to compare'), ('no globs to compare'), ('wide query'), ('blank query'), ('unknown repository'), ('wide vectors'), ('wide index run'), ('flat vectors'), ('broken manifest')) t(c)""")
 def store_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What has no answer gives no rows; what can't be right is refused."""
-    store, vector = stored(spark, sf_dir), _vector(spark, sf_dir)
+    store, vector = shared(spark, sf_dir), _vector(spark, sf_dir)
     lsh, wide = store.lsh(), Fixed([0.5] * (_WIDTH + 1))
     broken = Store(spark, scratch(spark, "index"))
     broken.set_meta("a", "b")
@@ -242,7 +253,7 @@ def store_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hyperplanes after a way through bytes, and through the store's meta."""
     planes = SimHash.planes_from(SimHash(dim=_WIDTH).to_bytes())
-    kept = stored(spark, sf_dir).lsh().planes
+    kept = shared(spark, sf_dir).lsh().planes
     rows = [(i, k + 1, float(v)) for i, p in enumerate(planes) for k, v in enumerate(p) if kept[i, k] == v]  # bands times bits times width
     return spark.createDataFrame(rows, "plane int, k int, v double")
 

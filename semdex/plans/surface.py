@@ -29,7 +29,7 @@ from ..sources.config import API_KEY_VARIABLE, KEYS, Config, Embedding
 from .corpus import files, table, vector_chunks
 from .index import search_index
 from .registered import ORACLES, _duplicates, _knn, _lsh, _rounded, _vector, _windows_sql, registered
-from .stored import _S, Fixed, _search_sql, scratch, stored
+from .stored import _S, Fixed, _search_sql, scratch, shared, stored
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 
@@ -146,7 +146,7 @@ def tiny_model(folder: Path) -> None:
 @registered(f"""WITH w AS (SELECT doc_id, list_slice({_WORDS.format("coalesce(text, '')")}, 1, 512) AS w FROM documents),
 t AS (SELECT doc_id, unnest(list_transform(w, lambda x: CASE x WHEN 'the' THEN 1 WHEN 'der' THEN 2 WHEN 'le' THEN 3 WHEN 'el' THEN 4 ELSE 0 END)) AS k FROM w),
 m AS (SELECT doc_id, avg(1 + k) AS a, avg(k * k) AS b, 1.0 AS c FROM t GROUP BY 1)
-SELECT doc_id, round(a / sqrt(a * a + b * b + c * c), 4) AS a, round(b / sqrt(a * a + b * b + c * c), 4) AS b, round(c / sqrt(a * a + b * b + c * c), 4) AS c FROM m""")
+SELECT doc_id, round(a / sqrt(a * a + b * b + c * c), 3) AS a, round(b / sqrt(a * a + b * b + c * c), 3) AS b, round(c / sqrt(a * a + b * b + c * c), 3) AS c FROM m""")
 def embed_onnx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A local model: 512 tokens at most, mean over the tokens that count, unit length. Texts without a token are left out."""
     folder = Path(scratch(spark, "model").removeprefix("file:"))
@@ -154,7 +154,7 @@ def embed_onnx(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiny_model(folder)
     rows = files(spark, sf_dir).filter(F.col("content").rlike(r"[^ \t\n\x0b\f\r]")).select("doc_id", "content")
     rows = embed_column(rows, OnnxProvider(str(folder)))
-    return rows.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 4).alias(n) for i, n in enumerate("abc")])
+    return rows.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 3).alias(n) for i, n in enumerate("abc")])
 
 
 # --- excerpts and renderings -------------------------------------------------------------------
@@ -213,7 +213,7 @@ def render_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT greatest(4, max(len(repo))) AS a, greatest(6, max(len(chunks))) AS b, greatest(4, max(len(mean))) AS c FROM c) """ + _lines("""SELECT rpad('name', a::INT, ' ') || '  ' || rpad('chunks', b::INT, ' ') || '  ' || rpad('mean', w.c::INT, ' ') || '  none' || chr(10) || repeat('-', a) || '  ' || repeat('-', b) || '  ' || repeat('-', w.c) || '  ----' || chr(10) ||
 (SELECT string_agg(rpad(repo, a::INT, ' ') || '  ' || rpad(chunks, b::INT, ' ') || '  ' || rpad(mean, w.c::INT, ' ') || '      ', chr(10) ORDER BY repo) FROM c) FROM w"""))
 def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = stored(spark, sf_dir)
+    store = shared(spark, sf_dir)
     rows = [r.asDict() for r in store.places().groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.avg("line_start").alias("mean"), F.lit(None).alias("none")).orderBy("repo").collect()]  # a row for each repository
     return _one(spark, render.as_table(rows, [("name", "repo"), ("chunks", "n"), ("mean", "mean"), ("none", "none")]))
 
@@ -288,7 +288,7 @@ def _run(spark: SparkSession, at: str, provider: Provider, *args: str) -> tuple[
 
 @registered(_search_sql("repo = 'repo2' AND lang IN ('go', 'java') AND file_path GLOB 'src/*'", 10, 0.2))
 def cli_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = stored(spark, sf_dir)
+    store = shared(spark, sf_dir)
     _, out, _ = _run(spark, store._folder.uri, Fixed(_vector(spark, sf_dir)), "search", "any", "--repo", "repo2", "--lang", "go", "--lang", "java", "--path", "src/*", "--threshold", "0.2", "--format", "json")
     rows = [tuple(r[k] for k in ("repo", "path", "line", "score", "snippet", "lang")) for r in json.loads(out)]
     return _rounded(spark.createDataFrame(rows, "repo string, path string, line int, score double, snippet string, lang string"), "score")
@@ -297,7 +297,7 @@ def cli_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {_S}, {ORACLES["lsh_candidates"].removeprefix("WITH ").rsplit("SELECT id_a", 1)[0]}, p AS (SELECT id_a, id_b, list_cosine_similarity(a.e, b.e) AS sim, a.file_path AS path_a, b.file_path AS path_b, a.line_start AS line_a, b.line_start AS line_b FROM cand JOIN s a ON a.id = id_a JOIN s b ON b.id = id_b WHERE a.repo = 'repo1' AND b.repo = 'repo1' AND a.file_path <> b.file_path)
 SELECT path_a, line_a, path_b, line_b, round(sim, 6) AS similarity FROM p WHERE sim >= 0.2 ORDER BY sim DESC, id_a, id_b LIMIT 15""")
 def cli_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = stored(spark, sf_dir)
+    store = shared(spark, sf_dir)
     _, out, _ = _run(spark, store._folder.uri, Fixed([0.0]), "duplicates", "--repo", "repo1", "--cross-file-only", "--threshold", "0.2", "--limit", "15", "--format", "json")
     rows = [(r["chunk_a"]["path"], r["chunk_a"]["line_start"], r["chunk_b"]["path"], r["chunk_b"]["line_start"], r["similarity"]) for r in json.loads(out)]
     return _rounded(spark.createDataFrame(rows, "path_a string, line_a int, path_b string, line_b int, similarity double"), "similarity")
@@ -336,7 +336,7 @@ SELECT asked::INT AS asked, repo, file_path AS path, line_start AS line, round(s
 UNION ALL SELECT * FROM (VALUES (-1, 'semdex', '2024-11-05', 0, 0.0::DOUBLE, 0), (-2, 'semantic_search', 'query', 0, 0, 0), (-3, '', '', 0, 0, -32601), (-4, '', '', 0, 0, -32602), (-5, '', '', 0, 0, -32602), (-6, '', '', 0, 0, -32601), (-7, '', '', 0, 0, -32600), (-8, '', '', 0, 0, -32602)) t""")
 def rpc_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session of the tool server: every vector whose id is divisible by 50 as a query, and calls that are refused."""
-    store = stored(spark, sf_dir)
+    store = shared(spark, sf_dir)
     asked = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").collect()}
     calls: list[tuple[int, dict]] = [
         (-1, {"method": "initialize"}), (-2, {"method": "tools/list"}), (-3, {"method": "none"}), (-4, {"method": "tools/call", "params": {"name": "semantic_search", "arguments": {}}}),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from semdex.operators import search as search_module
 from semdex.operators.embed import hashed
+from semdex.operators.search import search_stored
+from semdex.plans import stored, surface  # noqa: F401  the latter registers queries
 from semdex.plans.registered import _IMPORTING, ORACLES, QUERIES, _import_blocks, _text_chunks
 from semdex.streaming.files import SOURCE, StreamedIndex
 
@@ -39,6 +41,23 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "CartesianProduct" not in plan
 
 
+def test_stored_searches_join_texts_to_results_alone(spark, sf_dir):
+    """Without filters, nothing but the nearest vectors meets places and texts; and removal writes no part."""
+    store = stored.stored(spark, sf_dir)
+    found = search_stored(store.places(), store.vectors(), store.texts(), [0.1] * 64, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    texts = next(line for line in plan.split("\n") if "content" in line and "ReadSchema" in line)
+    assert "embedding" not in texts and plan.count("TakeOrderedAndProject") >= 2
+    assert all("content" not in line for line in plan.split("\n") if "ReadSchema" in line and "file_path" in line)
+    before = {n: {p["chunks"], p["vectors"], p["bands"]} for n, p in store._manifest()["parts"].items()}
+    reader = store.table("chunks")
+    n = reader.count()
+    assert store.remove_repo("repo1") > 0
+    after = {n: set(p.values()) for n, p in store._manifest()["parts"].items()}
+    assert after == {k: v for k, v in before.items() if k != "1"}
+    assert reader.count() == n  # what was planned before the change still runs
+
+
 def test_searches_ask_with_the_whole_query_set(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(search_module, "ROW_BLOCK", 64)
     monkeypatch.setattr(search_module, "QUERY_BLOCK", 3)
@@ -98,3 +117,6 @@ def test_a_stream_of_files(spark, tmp_path):
     before = index.chunks().count()
     index.apply(spark.createDataFrame([("r", "c.py", 1.0, "z")], SOURCE), 0)  # a batch that was written is skipped
     assert index.chunks().count() == before
+    index.compact()
+    assert {(r["file_path"], r["content"]) for r in index.chunks().collect()} == {("a.py", "new"), ("b.py", "y")}
+    assert len(index._state()["parts"]) == 1
