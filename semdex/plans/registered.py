@@ -18,7 +18,7 @@ from ..operators.duplicates import find_duplicates
 from ..operators.embed import HashingProvider, embed_rows, hashed, hashed_entries
 from ..operators.lsh import SimHash, candidates, exploded, similar_exact, verified
 from ..operators.search import search, search_blocks, search_many
-from ..sources.scan import wanted
+from ..sources.scan import BINARY_SUFFIXES, IGNORED_FOLDERS, wanted
 from .corpus import FILES, VECTOR_CHUNKS, files, table, vector_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,6 +243,35 @@ def detect_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_path", T.language(F.col("file_path")).alias("lang"))
 
 
+#: Paths of every known ending in turn, in either case, and of some that aren't known.
+_ENDINGS = [e for k in T.LANGUAGES for e in (f"main{k}", f"a/B{k.upper()}")] + ["Makefile", ".py", "a.py/b", "x.py.bak", "a.b/c.TXT"]
+
+
+def _picked(values: list, at: str) -> str:
+    """One of a list by a row's number, in DuckDB."""
+    return f"{values}[({at} % {len(values)} + 1)::INT]"
+
+
+@registered(f"SELECT doc_id, {_picked([T.LANGUAGES.get('.' + e.rsplit('.', 1)[-1].lower(), 'text') if '.' in e.rsplit('/', 1)[-1][1:] else 'text' for e in _ENDINGS], 'doc_id')} AS lang FROM documents")
+def lang_by_ending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.language(path).alias("lang"))
+
+
+#: Paths that are never scanned, whatever is in them, and some that are like them.
+_UNWANTED = [f"src/a{e}" for e in BINARY_SUFFIXES] + [f"src/A{e.upper()}" for e in BINARY_SUFFIXES] + [f"{f}/a.py" for f in IGNORED_FOLDERS] + [f"src/{f}/b/a.py" for f in IGNORED_FOLDERS]
+_WANTED = [f"src/a{e}.txt" for e in BINARY_SUFFIXES[:12]] + [f"{f}s/a.py" for f in IGNORED_FOLDERS] + [f"src/{f}.py" for f in IGNORED_FOLDERS] + ["a.py", "png", "src/.gitignore"]
+
+
+@registered(f"SELECT doc_id, {_picked(_WANTED, 'doc_id')} AS path FROM documents WHERE strlen(text) <= 102400")
+def scan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document at a path that is scanned and at one that isn't."""
+    docs = table(spark, sf_dir, "documents")
+    at = lambda paths: F.get(F.array(*map(F.lit, paths)), (F.col("doc_id") % len(paths)).cast("int"))
+    rows = docs.withColumn("path", F.explode(F.array(at(_WANTED), at(_UNWANTED))))
+    return rows.filter(wanted(F.col("path"), F.octet_length("text"), F.col("text").cast("binary"))).select("doc_id", "path")
+
+
 @registered(f"WITH {FILES} SELECT CASE lower(regexp_extract(file_path, '[.]([a-zA-Z]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'yml' THEN 'yaml' ELSE 'text' END AS lang, count(*)::BIGINT AS n FROM f GROUP BY 1")
 def lang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_lang(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -455,14 +484,6 @@ def render_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", F.md5(T.numbered(F.col("content"), F.lit(5))).alias("block"))
 
 
-@registered("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
-SELECT doc_id, len(lines)::INT AS n, list_slice(lines, greatest(1, 3 - 2), least(len(lines), 3 + 2)) AS excerpt FROM l WHERE len(lines) >= 3""".replace("list_slice(lines, greatest(1, 3 - 2), least(len(lines), 3 + 2)) AS excerpt", "md5(array_to_string(list_slice(lines, 1, 5), chr(10))) AS excerpt"))
-def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lines of context around line 3, from the whole file."""
-    rows = files(spark, sf_dir).select("doc_id", F.split("content", "\n").alias("lines")).filter(F.size("lines") >= 3)
-    return rows.select("doc_id", F.size("lines").alias("n"), F.md5(F.array_join(F.slice("lines", 1, 5), "\n")).alias("excerpt"))
-
-
 @registered(f"WITH {VECTOR_CHUNKS}, r AS (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY id DESC) AS k FROM vc) SELECT repo, id FROM r WHERE k <= 3")
 def latest_chunks_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_chunks(spark, sf_dir).select("repo", "id", F.row_number().over(Window.partitionBy("repo").orderBy(F.col("id").desc())).alias("k"))
