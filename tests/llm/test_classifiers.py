@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from semdex.llm import language, toxicity
+from semdex.llm import language, queries, toxicity
 
 ALPHABET = {"en": "the of and ing tion er", "de": "der sch ung und ein keit", "fr": "le eau tion ez é ou", "es": "ción el que ado ñ os"}
 
@@ -84,3 +84,17 @@ def test_risk_of_clean_texts_stays_non_negative():
     other = [np.array([k], np.uint64) for k in range(10, 200)]
     model = toxicity.fit(rows, rows + other, 0.3)
     assert np.isfinite(model.weights).all() and np.abs(model.weights).max() < 30
+
+
+def test_held_out_rows_of_the_supplied_documents(spark):
+    """What the models never saw: languages as given, and toxic texts ranked above the others."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = queries.op2_language_families(spark, sf_dir).filter("held_out AND lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").collect()
+    assert len(told) > 150 and sum(r["lang"] == r["lang_pred"] for r in told) >= 0.97 * len(told)
+    sf_dir = "/root/testdata/sf0.1"
+    scored = queries.op3_toxicity_pu(spark, sf_dir).filter("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
+    toxic, clean = ([r["score"] for r in scored if r["toxic"] == k] for k in (1, 0))
+    above = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
+    assert len(toxic) >= 100 and above >= 0.95
+    assert sum(s >= 0.7 for s in toxic) >= 0.85 * len(toxic) and sum(s >= 0.7 for s in clean) <= 0.02 * len(clean)
