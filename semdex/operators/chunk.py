@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import joined, language, lines, normal_newlines
 from .syntax import syntax_nodes
 
@@ -52,11 +53,14 @@ def step_of(most: int = MOST_LINES, overlap: float = OVERLAP) -> int:
 def windows(rows: Column, most: int = MOST_LINES, overlap: float = OVERLAP, first: Column | int = 1) -> Column:
     """Overlapping windows over an array of lines, the last of which ends with it."""
     step = step_of(most, overlap)
-    n = F.size(rows)
-    last = F.greatest(F.lit(0), F.ceil((n - most) / step).cast("int")) * step
     first = F.lit(first) if isinstance(first, int) else first
-    each = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: _segment(first + s, first + F.least(n, s + most) - 1, joined(F.slice(rows, s + 1, most))))
-    return F.when(n > 0, each).otherwise(F.array().cast(f"array<{SEGMENT}>"))
+
+    def cut(r: Column) -> Column:
+        n = F.size(r)
+        last = F.greatest(F.lit(0), F.ceil((n - most) / step).cast("int")) * step
+        return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: _segment(first + s, first + F.least(n, s + most) - 1, joined(F.slice(r, s + 1, most))))
+
+    return let(rows, lambda r: F.when(F.size(r) > 0, cut(r)).otherwise(F.array().cast(f"array<{SEGMENT}>")))
 
 
 def _glued(a: Column, b: Column) -> Column:
@@ -153,10 +157,13 @@ def chunk_files(files: DataFrame, parser: Parser | None = syntax_nodes, most: in
 
         schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "_nodes array<struct<s:int,e:int>>"])
         rows = rows.drop("_lines").mapInArrow(parse, schema).withColumn("_lines", lines(F.col("content")))
-        node = lambda x: F.slice(F.col("_lines"), x["s"], x["e"] - x["s"] + 1)
-        piece = lambda x: F.when(x["e"] - x["s"] + 1 > most, windows(node(x), most, overlap, x["s"])).otherwise(F.array(_segment(x["s"], x["e"], joined(node(x)))))
-        rows = rows.withColumn("_nodes", F.filter("_nodes", lambda x: x["s"] <= F.size("_lines")))
-        rows = rows.withColumn("_pieces", F.flatten(F.transform("_nodes", piece)))
+
+        def pieces(text: Column) -> Column:
+            node = lambda x: F.slice(text, x["s"], x["e"] - x["s"] + 1)
+            piece = lambda x: F.when(x["e"] - x["s"] + 1 > most, windows(node(x), most, overlap, x["s"])).otherwise(F.array(_segment(x["s"], x["e"], joined(node(x)))))
+            return F.flatten(F.transform(F.filter("_nodes", lambda x: x["s"] <= F.size(text)), piece))
+
+        rows = rows.withColumn("_pieces", let(F.col("_lines"), pieces))
         rows = rows.withColumn("_merged", merge_small(F.col("_pieces"), least)).withColumn("_block", import_block(F.col("_lines"), F.col("lang")))
         rows = rows.withColumn("_segments", F.when(F.size("_pieces") > 0, with_imports(F.col("_merged"), F.col("_block"))).otherwise(by_lines))
     keep = [c for c in files.columns if c not in ("content", "lang")]
