@@ -1,7 +1,9 @@
+import sys
 from dataclasses import dataclass
 from types import SimpleNamespace
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from semdex.functions import text as T
@@ -10,6 +12,9 @@ from semdex.operators import chunk as C
 from semdex.operators import syntax as S
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+
+
 def chunked(spark, path, content, **options):
     files = spark.createDataFrame([(path, content, 1.5)], "file_path string, content string, file_mtime double")
     rows = C.chunk_files(files, **options).orderBy("line_start", "line_end").collect()
