@@ -153,12 +153,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least row that each row is linked with, through others too."""
     root = np.arange(n)
     while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        differ = root[a] != root[b]
-        a, b = a[differ], b[differ]
+        x, y = root[a], root[b]
+        differ = x != y
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # roots alone move, so all below them move along
+        while (root[root] != root).any():
+            root = root[root]
     return root
 
 

@@ -40,6 +40,15 @@ def test_components(spark):
     assert components(spark.createDataFrame(links, "a long, b long").limit(0)).collect() == []
 
 
+def test_roots_of_links_in_any_order():
+    assert ngram_join._roots(4, np.array([1, 2, 0]), np.array([2, 3, 3])).tolist() == [0, 0, 0, 0]
+    rng = np.random.default_rng(4)
+    for n in (30, 300):
+        for _ in range(30):
+            a, b = rng.integers(0, n, (2, n * 2 // 3))
+            assert ngram_join._roots(n, a, b).tolist() == list(classes(range(n), zip(a.tolist(), b.tolist(), strict=True)).values())
+
+
 def test_global_rank(spark):
     rows = [("hot" if i % 3 else f"g{i % 5}", i * 7 % 100, i) for i in range(3000)] + [(None, 1, -1)]
     got = global_rank(spark.createDataFrame(rows, "g string, v long, i long"), ["g"], ["v", "i"], total="n").collect()
@@ -371,3 +380,18 @@ def test_dense_groups_at_production_size(spark):
 def test_vectors_of_nothing(spark):
     found, recall = vector_graph.links(vectors(spark, [(1, [1.0], 1)]).limit(0))
     assert found.collect() == [] and recall == 1.0
+
+
+def test_planted_vectors_have_every_link(spark, monkeypatch, tmp_path):
+    """Vectors that lie evenly in all directions: the nearest centroids of a pair often differ."""
+    monkeypatch.setattr(vector_graph, "CLUSTER", 40)
+    base = np.random.default_rng(6).standard_normal((500, 64)).astype(np.float32)
+    spark.createDataFrame([(i, [float(v) for v in e], i % 2) for i, e in enumerate(base)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    wide, turned = base.astype(np.float64), np.roll(base, -1, 1).astype(np.float64)
+    x = np.concatenate([base, *((wide + by * turned).astype(np.float32) for by in (0.1, 0.3))]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, label = np.concatenate([np.arange(500) + k * 1_000_000_000 for k in range(3)]), np.tile(np.arange(500) % 2, 3)
+    pairs = [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(np.triu((x @ x.T >= 0.98) & (label[:, None] == label), 1)), strict=True)]
+    degree, want = Counter(v for e in pairs for v in e), classes(ids.tolist(), pairs)
+    got = queries.vector_graph_planted(spark, str(tmp_path)).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, degree[i], want[i]) for i in want} and len(pairs) > 500
