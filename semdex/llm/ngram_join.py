@@ -123,7 +123,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     return stream(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_runs int, set_id binary, signature binary, buckets array<long>")
 
 
-def _pairs(side: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(side: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one task, some at a time: all of them, or those across its two parts."""
     own = np.flatnonzero(side == 2)
     left, right = (own, own) if len(own) else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -162,6 +162,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` with more links: what is kept between blocks of pairs is a row's root, not the pairs."""
+    return _roots(len(root), np.concatenate([a, np.arange(len(root))]), np.concatenate([b, root])) if len(a) else root
+
+
 def _small_groups(starts: np.ndarray, most: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows in groups of up to ``most`` rows, for all groups of a size at once."""
     sizes = np.diff(starts)
@@ -178,15 +183,16 @@ def candidate_links(buckets: DataFrame, need: np.ndarray) -> DataFrame:
         for table, starts in complete_groups(batches, "task"):
             rep, side = np.asarray(table.column("rep")), np.asarray(table.column("side"))
             sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-            found = []
+            root = np.arange(len(rep))
             for a, b in _small_groups(starts):
                 own = np.isin(side[a] + side[b], (1, 4))  # both of one part's own task, or one of each part
-                found.append(_surviving(sig, a[own], b[own], need))
+                root = _joined(root, *_surviving(sig, a[own], b[own], need))
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 if e - s > 24:
-                    found += [_surviving(sig, a + s, b + s, need) for a, b in _pairs(side[s:e])]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-            root = _roots(len(rep), a, b)
+                    own = np.arange(e - s)
+                    for a, b in _pairs(side[s:e]):
+                        own = _joined(own, *_surviving(sig[s:e], a, b, need))
+                    root[s:e] = own + s
             linked = np.flatnonzero(root != np.arange(len(rep)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], ["a", "b"])
 
@@ -203,9 +209,10 @@ def verified(members: DataFrame, need: np.ndarray, threshold: Fraction) -> DataF
         everything = np.concatenate(sets)
         _, ids = np.unique(everything, return_inverse=True)
         mark = np.zeros(int(ids.max()) + 1, bool)
-        links, kept = np.zeros(len(sets), np.int64), []
+        links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
         for a, b in _pairs(side):
             a, b = _surviving(sig, a, b, need)
+            kept = []
             for i in distinct(a):
                 others = b[a == i]
                 own = ids[begin[i] : begin[i] + sizes[i]]
@@ -219,8 +226,9 @@ def verified(members: DataFrame, need: np.ndarray, threshold: Fraction) -> DataF
                 links[i] += copies[ok].sum()
                 links[ok] += copies[i]
                 kept.append((np.full(len(ok), i), ok))
-        a, b = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.empty(0, np.int64),) * 2
-        return links, _roots(len(sets), a, b)
+            if kept:
+                root = _joined(root, *(np.concatenate(x) for x in zip(*kept, strict=True)))
+        return links, root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in complete_groups(batches, "task", 512):

@@ -1,11 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +52,24 @@ def test_roots_of_links_in_any_order():
             assert ngram_join._roots(n, a, b).tolist() == list(classes(range(n), zip(a.tolist(), b.tolist(), strict=True)).values())
 
 
+def test_blocks_of_near_copies_hold_no_list_of_their_pairs(monkeypatch):
+    """Eight tasks of two parts of 900 near copies each come as one batch: 6.5 million pairs survive."""
+    monkeypatch.setattr(ngram_join, "stream", lambda rows, run, schema: run)
+    need, n = ngram_join.least_matches(), 900
+    sig = np.arange(ngram_join.HASHES, dtype=np.uint32).tobytes()
+    task, side, rep = np.repeat(np.arange(8), 2 * n), np.tile(np.repeat([0, 1], n), 8), np.tile(np.arange(2 * n), 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(task), pa.array(side), pa.array(rep), pa.array([sig] * len(rep), pa.binary())], ["task", "side", "rep", "signature"])
+    run = ngram_join.candidate_links(MagicMock(), need)
+    tracemalloc.start()
+    try:
+        found = [x for out in run(iter([batch])) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert Counter(found) == {(i, 0): 8 for i in range(1, 2 * n)}
+    assert peak < 64 << 20
+
+
 def test_global_rank(spark):
     rows = [("hot" if i % 3 else f"g{i % 5}", i * 7 % 100, i) for i in range(3000)] + [(None, 1, -1)]
     got = global_rank(spark.createDataFrame(rows, "g string, v long, i long"), ["g"], ["v", "i"], total="n").collect()
